@@ -1,27 +1,54 @@
-"""the one string measure Spark lacks, as an Arrow-batched UDF over ``difflib``."""
+"""the one string measure Spark lacks, as Arrow-batched UDFs over ``difflib``.
 
-from __future__ import annotations
+The UDF bodies are nested functions, so they travel to executors by value and the package need not be installed
+there.
+"""
 
-from difflib import SequenceMatcher
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
+def _ratio_udf():
+    import pandas as pd
 
-@F.pandas_udf("double")
-def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([
-        None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
-        for a, b in zip(left, right)
-    ], dtype="float64")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([
+            None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)
+        ], dtype="float64")
+
+    ratio.__annotations__ = {"left": pd.Series, "right": pd.Series, "return": pd.Series}
+    return F.pandas_udf(ratio, T.DoubleType())
 
 
 def similarity(left: Column, right: Column) -> Column:
     """Matched characters over mean length. The argument order matters: the value comes first."""
-    return _ratio(left, right)
+    return _ratio_udf()(left, right)
+
+
+def _closeness_udf(target: str):
+    import pandas as pd
+
+    def closeness(words: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        known: dict = {}
+
+        def score(word):
+            if word not in known:
+                known[word] = SequenceMatcher(None, word, target).ratio()
+            return known[word]
+
+        return pd.Series([None if ws is None else [score(w) for w in ws] for ws in words])
+
+    closeness.__annotations__ = {"words": pd.Series, "return": pd.Series}
+    return F.pandas_udf(closeness, T.ArrayType(T.DoubleType()))
 
 
-def close_words(words: tuple[str, ...], target: str, threshold: float) -> tuple[str, ...]:
-    """Words of a fixed list that are at least ``threshold`` similar to ``target``."""
-    return tuple(w for w in words if SequenceMatcher(None, w, target).ratio() >= threshold)
+def word_closeness(words: Column, target: str) -> Column:
+    """Similarity of every word of an array to one fixed word; each different word is scored once per batch."""
+    return _closeness_udf(target)(words)
