@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docfields.functions.text import iso_time
 from docfields.operators import status as S
 from docfields.plans import query
-from docfields.plans.derive import LOG_SQL, invoices, processing_log, table
+from docfields.plans.derive import INVOICE_SQL, LOG_SQL, invoices, processing_log, table
 from docfields.sources.readers import mapping_frame, with_mapping
 
 _ISO = "strftime(uploaded_on, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(uploaded_on) % 1000000 != 0 THEN strftime(uploaded_on, '.%f') ELSE '' END"
@@ -205,7 +205,7 @@ def status_events(spark, folder):
 
 
 @query("q3_current_status", f"""
-SELECT doc_id, status, at, attempt FROM (SELECT user_id AS doc_id, {_STATUS} AS status, ts AS at, CAST(event_id % 4 AS INT) AS attempt,
+SELECT doc_id, status, "at", attempt FROM (SELECT user_id AS doc_id, {_STATUS} AS status, ts AS "at", CAST(event_id % 4 AS INT) AS attempt,
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id % 4 DESC) AS rn FROM events) WHERE rn = 1
 """)
 def current_status(spark, folder):
@@ -222,8 +222,8 @@ def notes(spark, folder):
 
 
 @query("q7_retry_plan", f"""
-SELECT doc_id, attempt + 1 AS attempt, at + INTERVAL 5 SECOND AS not_before FROM (
-  SELECT user_id AS doc_id, {_STATUS} AS status, ts AS at, CAST(event_id % 4 AS INT) AS attempt,
+SELECT doc_id, attempt + 1 AS attempt, "at" + INTERVAL 5 SECOND AS not_before FROM (
+  SELECT user_id AS doc_id, {_STATUS} AS status, ts AS "at", CAST(event_id % 4 AS INT) AS attempt,
     row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id % 4 DESC) AS rn FROM events)
 WHERE rn = 1 AND status = 'Failed' AND attempt <= 2
 """)
@@ -266,7 +266,14 @@ def iso(spark, folder):
     return table(spark, folder, "events").select("event_id", iso_time(F.col("ts")).alias("at"))
 
 
-@query("q2_drain_intake")
+@query("q2_drain_intake", f"""
+WITH {INVOICE_SQL}
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Failed' ELSE 'Completed' END AS data_extraction_status,
+  CASE WHEN doc_id % 4 = 0 THEN 'Mapping config not found: client9/format1' END AS error,
+  CASE WHEN doc_id % 4 != 0 THEN vehicle END AS vehicle, CASE WHEN doc_id % 4 != 0 THEN lr_no END AS consignment_no,
+  CASE WHEN doc_id % 4 != 0 THEN consignee END AS consignee, CASE WHEN doc_id % 4 != 0 THEN rate END AS rate
+FROM truth
+""")
 def drain_intake(spark, folder):
     """Q2: the intake table as a stream, drained once through the batch extraction, read back as events."""
     import tempfile
@@ -282,4 +289,6 @@ def drain_intake(spark, folder):
     intake.write.mode("overwrite").parquet(f"{root}/in")
     stream = intake_stream(spark, f"{root}/in", intake.schema)
     start_extraction(stream, f"{root}/out", f"{root}/check", drain=True).awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("doc_id", "extracted_json", "data_extraction_status", "error")
+    names = {"vehicle": "Vehicle", "consignment_no": "ConsignmentNo", "consignee": "Consignee", "rate": "Get Rate"}
+    return spark.read.parquet(f"{root}/out").select("doc_id", "data_extraction_status", "error", *[
+        F.get_json_object("extracted_json", f"$['{key}']").alias(name) for name, key in names.items()])
