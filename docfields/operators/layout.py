@@ -59,7 +59,7 @@ def band_rows(words: DataFrame, tolerance: int = BAND_TOLERANCE, keys=PAGE, span
     ``span`` distinct tops, a page's chain one row per stretch.
     """
     keys = list(keys)
-    tops = words.groupBy(*keys, "top").agg().withColumn("_part", F.floor(F.col("top") / span))
+    tops = words.select(*keys, "top").distinct().withColumn("_part", F.floor(F.col("top") / span))
     parts = tops.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list("top")).alias("_tops"))
 
     def walk(head: Column) -> Column:
