@@ -529,21 +529,6 @@ def invoice_day_c(text: Column, labelled: Column) -> Column:
     return F.coalesce(labelled, near)
 
 
-def consignor_c(text: Column, words_like=None) -> Column:
-    """P20: a line with the company word names the city; else a city anywhere; else the bare name."""
-
-    def city(t: Column) -> Column:
-        return F.coalesce(*[F.when(F.contains(t, F.lit(k)), f"{C.CONSIGNOR_NAME}-{v}") for k, v in C.CONSIGNOR_CITIES])
-
-    def per_line(line: Column) -> Column:
-        upper = F.upper(line)
-        named = reduce(lambda a, b: a | b, [F.contains(upper, F.lit(w)) for w in C.CONSIGNOR_WORDS])
-        close = upper.rlike(r"(?:^|\s)JSW(?:\s|$)") if words_like is None else words_like(upper)
-        return F.when(named | close, city(upper))
-
-    return F.coalesce(over_lines(text, per_line), city(F.upper(text)), F.lit(C.CONSIGNOR_NAME))
-
-
 def gc_digits(text: Column) -> Column:
     """P25: the digits of a label's number box: five, else ``1dddd`` inside four or more."""
     digits = digits_only(text)
@@ -563,16 +548,88 @@ def _finish_c(df: DataFrame, keep, preferred_names) -> DataFrame:
     from docfields.functions.text import category_of, gst_number, pan_number
 
     t, c = F.col("_text"), F.col
+    named = over_lines(t, lambda line: F.when(F.upper(line).rlike("|".join(C.CONSIGNOR_WORDS)), _consignor_city(F.upper(line))))
+    df = with_similar_labels(df.withColumns({"destination": destination_c(t), "consignor": named}), "_text")
     return df.select(
         *keep,
         branch_text(t).alias("branch"), invoice_day_c(t, c("invoice_date")).alias("invoice_date"),
-        destination_c(t).alias("destination"), c("vehicle_no"), c("eway_bill_no"),
+        c("destination"), c("vehicle_no"), c("eway_bill_no"),
         eway_day(t, c("eway_bill_no")).alias("eway_date"), pan_number(t).alias("pan_no"),
         gst_number(t).alias("gst_no"), category_of(t).alias("product_category"),
-        consignor_c(t).alias("consignor"),
+        c("consignor"),
     )
 
 
+def correct_branches(pages: DataFrame, known=C.KNOWN_BRANCHES, threshold: float = 0.75) -> DataFrame:
+    """Branches replaced by the closest known one (J3); unknown ones stay."""
+    from docfields.operators.correct import match_dictionary
+
+    names = pages.sparkSession.createDataFrame([(n, i) for i, n in enumerate(known)], "name string, ord int")
+    matched = match_dictionary(pages.select("branch").distinct(), names, threshold, "branch")
+    return pages.join(matched.select("branch", "matched"), "branch", "left").withColumn("branch", F.col("matched")).drop("matched")
+
+
+def with_similar_labels(df: DataFrame, text: str = "text") -> DataFrame:
+    """Fields whose label could not be read are looked for near similar words.
+
+    Only the words of rows with a missing field reach the Python scorer; all other rows send NULL.
+    """
+    from docfields.functions.similarity import word_closeness
+
+    t = F.col(text)
+    words, plain = F.col("_words"), F.col("_plain")
+    need_place = F.when(F.col("destination").isNull(), F.transform(plain, F.lower))
+    need_plate = F.when(F.col("vehicle_no").isNull(), F.transform(plain, F.lower))
+    upper_words = F.when(F.col("consignor").isNull(), F.transform(words, F.upper))
+    split = df.withColumn("_words", F.split(F.trim(t), r"\s+")).withColumn(
+        "_plain", F.transform("_words", lambda w: sub(w, "[^a-zA-Z0-9]")))
+    scored = split.withColumns({
+        "_dispatch": word_closeness(need_place, "dispatch"), "_to": word_closeness(need_place, "to"),
+        "_vehicle": word_closeness(need_plate, "vehicle"),
+        **{f"_c{i}": word_closeness(upper_words, token.upper()) for i, (token, _) in enumerate(C.CONSIGNOR_TOKENS)},
+    })
+
+    def place(i: Column) -> Column:
+        """Up to four words after a ``to``-like word within three words of the label."""
+        to_at = _first(F.filter(F.sequence(i + 1, F.least(i + 3, F.size(words) - 1)), lambda j: F.get(F.col("_to"), j) >= 0.6))
+        return let(F.slice(words, to_at + 2, 4), lambda after: let(
+            F.transform(after, lambda w: sub(w, r"[^a-zA-Z\-]")), lambda clean: up_to_stop(after, clean)))
+
+    def up_to_stop(after: Column, clean: Column) -> Column:
+        bad = F.array_position(F.transform(F.sequence(F.lit(0), F.size(after) - 1), lambda n: (
+            (F.length(F.get(clean, n)) < 2) | F.get(after, n).rlike(r"\d") | F.lower(F.get(clean, n)).isin(*C.DISPATCH_FUZZY_STOPS))), True)
+        kept = F.when(bad > 0, F.slice(clean, F.lit(1), (bad - 1).cast("int"))).otherwise(clean)
+        return F.nullif(sub(F.array_join(kept, " "), r"(?i)\s+[a-z]$"), F.lit(""))
+
+    labels = F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: (
+        (F.length(F.get(plain, i)) >= 5) & (F.get(F.col("_dispatch"), i) >= 0.5)))
+    places = F.filter(F.transform(labels, place), lambda v: v.isNotNull())
+    vehicle_at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (
+        (F.length(F.get(plain, i)) >= 5) & (F.get(F.col("_vehicle"), i) >= 0.6)))
+    # the rest of the label's own line holds the plate
+    plates = F.transform(vehicle_at, lambda i: NORMALISERS["plate_2"](hit(
+        F.substring_index(F.array_join(F.slice(words, i + 1, 8), " "), "\n", 1), C.PLATE_IN_LINE)))
+    plates = F.filter(plates, lambda p: F.length(p).between(8, 12) & p.rlike(r"^\p{L}{2}"))
+    marks = F.array_distinct(F.flatten(F.array(*[
+        F.transform(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(F.col(f"_c{n}"), i) >= limit), lambda i: F.get(words, i))
+        for n, limit in _token_limits()])))
+    line_with_mark = over_lines(t, lambda line: F.when(
+        F.exists(marks, lambda m: F.contains(line, m)) | F.upper(line).rlike("|".join(C.CONSIGNOR_WORDS)), _consignor_city(F.upper(line))))
+    consignor = F.coalesce(line_with_mark, _consignor_city(F.upper(t)), F.lit(C.CONSIGNOR_NAME))
+    return scored.withColumns({
+        "destination": F.coalesce("destination", _first(places)), "vehicle_no": F.coalesce("vehicle_no", _first(plates)),
+        "consignor": F.coalesce("consignor", consignor),
+    }).drop("_words", "_plain", "_dispatch", "_to", "_vehicle", *[f"_c{i}" for i in range(len(C.CONSIGNOR_TOKENS))])
+
+
+def _token_limits() -> list[tuple[int, float]]:
+    return [(i, limit) for i, (_, limit) in enumerate(C.CONSIGNOR_TOKENS)]
+
+
+def _consignor_city(text: Column) -> Column:
+    return F.coalesce(*[F.when(F.contains(text, F.lit(k)), f"{C.CONSIGNOR_NAME}-{v}") for k, v in C.CONSIGNOR_CITIES])
+
+
 FINISHERS = {"freight_a": _finish_a, "freight_b": _finish_b, "freight_c": _finish_c}
 
 
