@@ -475,23 +475,26 @@ def over_lines(text: Column, per_line) -> Column:
 
 def branch_text(text: Column) -> Column:
     """P23 before correction: POST label, damaged label with a taluk nearby, then ``PLACE, TK:`` forms."""
-    upper = F.upper(text)
-
-    def letters(v: Column, least: int, most: int = 1 << 20) -> Column:
-        return F.when(v.rlike(r"^\p{L}+$") & F.length(v).between(least, most), v)
-
-    exact = [letters(hit(upper, p), 4) for p in C.POST_EXACT]
-    damaged = []
-    for p in C.POST_DAMAGED:
-        value = letters(hit(upper, p), 4, 20)
-        start = F.regexp_instr(upper, F.lit(p))
-        whole = F.regexp_extract(upper, p, 0)
-        begin = F.greatest(start - 50, F.lit(1))
-        context = upper.substr(begin, start - begin + F.length(whole) + 50)
-        damaged.append(F.when(~value.isin(*C.NOT_A_BRANCH) & context.rlike(C.TALUK_NEARBY), value))
-    line_form = hit(upper, C.TALUK_LINE)
+    return let(F.upper(text), _branch_in)
+
+
+def _branch_in(upper: Column) -> Column:
+    def near_taluk(pattern: str) -> Column:
+        start = F.regexp_instr(upper, F.lit(pattern))
+        return let(start, lambda at: upper.substr(
+            F.greatest(at - 50, F.lit(1)),
+            F.least(at - 1, F.lit(50)) + F.length(F.regexp_extract(upper, pattern, 0)) + 50).rlike(C.TALUK_NEARBY))
+
+    exact = [let(hit(upper, p), lambda v: F.when(v.rlike(r"^\p{L}{4,}$"), v)) for p in C.POST_EXACT]
+    damaged = [_accepted(upper, p, near_taluk) for p in C.POST_DAMAGED]
     place, taluk = hit(upper, C.TALUK_ANYWHERE, 1), hit(upper, C.TALUK_ANYWHERE, 2)
-    return F.coalesce(*exact, *damaged, line_form, F.when(place != taluk, place))
+    return F.coalesce(*exact, *damaged, hit(upper, C.TALUK_LINE), F.when(place != taluk, place))
+
+
+def _accepted(upper: Column, pattern: str, near_taluk) -> Column:
+    """A damaged label counts for 4 to 20 letters that are no taluk or state, with a taluk mark nearby."""
+    return let(hit(upper, pattern), lambda v: F.when(
+        v.rlike(r"^\p{L}{4,20}$") & ~v.isin(*C.NOT_A_BRANCH) & near_taluk(pattern), v))
 
 
 def destination_c(text: Column) -> Column:
@@ -561,9 +564,14 @@ def _finish_c(df: DataFrame, keep, preferred_names) -> DataFrame:
 
 
 def correct_branches(pages: DataFrame, known=C.KNOWN_BRANCHES, threshold: float = 0.75) -> DataFrame:
-    """Branches replaced by the closest known one (J3); unknown ones stay."""
+    """Branches replaced by the closest known one (J3); unknown ones stay.
+
+    The pages are read twice (distinct branches, then the join back), so the extraction before it is checkpointed.
+    """
     from docfields.operators.correct import match_dictionary
+    from docfields.session import cut_lineage
 
+    pages = cut_lineage(pages)
     names = pages.sparkSession.createDataFrame([(n, i) for i, n in enumerate(known)], "name string, ord int")
     matched = match_dictionary(pages.select("branch").distinct(), names, threshold, "branch")
     return pages.join(matched.select("branch", "matched"), "branch", "left").withColumn("branch", F.col("matched")).drop("matched")

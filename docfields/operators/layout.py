@@ -136,26 +136,31 @@ def context_of(ordered: DataFrame, keys=PAGE, before: int = HEADER_BEFORE, after
 
 def header_score(words: DataFrame, pattern: str = DELIVERY_HEADER, keys=PAGE) -> DataFrame:
     """The best header word of the right half per page, with its score."""
+    return _best_header(words, [pattern], keys).drop("_kind")
+
+
+def _best_header(words: DataFrame, patterns: list[str], keys) -> DataFrame:
+    """Header words of the first pattern a page has; contexts are built once for all patterns."""
     width = words.groupBy(*keys).agg(F.max(right()).alias("_width"))
+    kind = F.coalesce(*[F.when(F.col("context").rlike(p), i) for i, p in enumerate(patterns)])
     scored = context_of(reading_order(words, keys), keys).join(width, list(keys)).filter(
-        (F.col("left") >= F.col("_width") * 0.5)
-        & ~F.col("context").rlike(NOT_A_HEADER) & F.col("context").rlike(pattern))
+        (F.col("left") >= F.col("_width") * 0.5) & ~F.col("context").rlike(NOT_A_HEADER)
+    ).withColumn("_kind", kind).filter(F.col("_kind").isNotNull())
     score = (
         F.when(F.contains("context", F.lit("Address")), 10).otherwise(0)
         + F.when(F.contains("context", F.lit("Name")), 5).otherwise(0)
         + F.when(F.col("left") > F.col("_width") * 0.55, 30).when(F.col("left") > F.col("_width") * 0.5, 10).otherwise(0)
         + F.when(F.col("top") < 800, 20).otherwise(0))
     kept = ["word_no", "text", "left", "top", "w", "h"]
-    best = F.min_by(F.struct(*kept, "_score"), F.struct((-F.col("_score")).alias("s"), F.col("read_no")))
+    best = F.min_by(F.struct(*kept, "_score", "_kind"), F.struct("_kind", (-F.col("_score")).alias("s"), F.col("read_no")))
     return (scored.withColumn("_score", score).groupBy(*keys).agg(best.alias("b"))
-            .select(*keys, *[F.col(f"b.{c}").alias(c) for c in kept], F.col("b._score").alias("score")))
+            .select(*keys, *[F.col(f"b.{c}").alias(c) for c in (*kept, "_kind")], F.col("b._score").alias("score")))
 
 
 def delivery_header(words: DataFrame, keys=PAGE) -> DataFrame:
     """A delivery header, else a recipient header, per page."""
-    delivery = header_score(words, DELIVERY_HEADER, keys)
-    recipient = header_score(words, RECIPIENT_HEADER, keys).join(delivery, list(keys), "left_anti")
-    return delivery.withColumn("kind", F.lit("delivery")).unionByName(recipient.withColumn("kind", F.lit("recipient")))
+    found = _best_header(words, [DELIVERY_HEADER, RECIPIENT_HEADER], keys)
+    return found.withColumn("kind", F.when(F.col("_kind") == 0, "delivery").otherwise("recipient")).drop("_kind")
 
 
 def row_extent(words: DataFrame, headers: DataFrame, keys=PAGE) -> DataFrame:

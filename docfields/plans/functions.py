@@ -304,7 +304,7 @@ WITH {INVOICE_SQL} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN destination ELSE
 """)
 def destination_damaged(spark, folder):
     k = F.col("doc_id")
-    text = F.concat(F.when(k % 2 == 0, "x Dispatch To: ").otherwise("goods D1spateh T0 New "), F.col("destination"), F.lit(" Incoterms for-door"))
+    text = F.concat(F.when(k % 2 == 0, "x Dispatch To: ").otherwise("goods D1spateh Too New "), F.col("destination"), F.lit(" Incoterms for-door"))
     docs = invoice_values(spark, folder).select("doc_id", text.alias("text"))
     return X.with_similar_labels(docs.withColumn("destination", X.destination_c(F.col("text"))).withColumn("vehicle_no", F.lit("x"))
                                  .withColumn("consignor", F.lit("x"))).select("doc_id", "destination")
