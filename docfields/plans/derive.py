@@ -7,6 +7,7 @@ from their keys and columns. Everything grows with the tables.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docfields.functions.text import lines_of
@@ -229,15 +230,13 @@ ln AS (
 
 def words(spark: SparkSession, folder: str) -> DataFrame:
     """Word boxes of the documents: 18 units per line with a small jitter, 10 units per character."""
-    tokens = F.split("line", " ")
-    offset = F.transform(tokens, lambda w, i: F.struct(
-        w.alias("text"),
-        (F.length(F.array_join(F.slice(tokens, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)).alias("at"), i.alias("i")))
-    w = document_lines(spark, folder).select("doc_id", "line_no", F.explode(offset).alias("w")).filter("w.text != ''")
+    before = W.partitionBy("doc_id", "line_no").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    w = document_lines(spark, folder).select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("i", "text"))
+    w = w.withColumn("at", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")).filter("text != ''")
     return w.select(
-        "doc_id", F.lit(1).alias("page_no"), (F.col("line_no") * 100000 + F.col("w.i")).alias("word_no"), F.col("w.text").alias("text"),
-        (F.col("w.at") * 10).alias("left"), (F.col("line_no") * 18 + F.col("w.i") % 5).alias("top"),
-        (F.length("w.text") * 10).alias("w"), F.lit(12).alias("h"))
+        "doc_id", F.lit(1).alias("page_no"), (F.col("line_no") * 100000 + F.col("i")).alias("word_no"), "text",
+        (F.col("at") * 10).alias("left"), (F.col("line_no") * 18 + F.col("i") % 5).alias("top"),
+        (F.length("text") * 10).alias("w"), F.lit(12).alias("h"))
 
 
 WORDS_SQL = LINES_SQL + """,
