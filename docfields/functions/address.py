@@ -135,6 +135,3 @@ def local_address_cleanup(text: Column, learned: dict[str, str] | None = None) -
     s = guess_places(strip_chars(s, r" ,;:\-"), learned)
     return capitalize_words(strip_chars(sub(s, r"\s{2,}", " "), r" ,;:\-"))
 
-
-def country_or_null(flag: Column) -> Column:
-    return F.when(flag, COUNTRY)

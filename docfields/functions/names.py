@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docfields.functions.text import alpha_ratio, blank_to_null, hits, let, squeeze, strip_chars, sub
+from docfields.functions.text import alpha_ratio, hits, let, squeeze, strip_chars, sub
 
 # --- fixed values: words and patterns of company names ---------------------------------------------
 NAME_STOP = (
@@ -251,6 +251,3 @@ def is_salvageable(line: Column) -> Column:
     return (~line.rlike(FREIGHT_TERMS) & line.rlike("[A-Za-z]")
             & ((alpha_ratio(line) < 0.7) | line.rlike(r"\d{2,}|/")))
 
-
-def nothing_left(text: Column) -> Column:
-    return blank_to_null(F.trim(text))
