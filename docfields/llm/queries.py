@@ -63,3 +63,60 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from docfields.llm.mixing import mix
 
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_preference_format", """
+WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+p AS (SELECT a.conv_id, a.turns AS chosen, (a.conv_id // 2) % (len(a.turns) + 1) AS cut, coalesce(b.turns, []) AS theirs
+      FROM c a LEFT JOIN c b ON b.conv_id = xor(a.conv_id, 1::BIGINT)),
+r AS (SELECT conv_id, chosen, list_concat(chosen[1:cut], theirs[cut + 1:]) AS rejected FROM p),
+n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[i] IS DISTINCT FROM rejected[i])) - 1,
+                         least(len(chosen), len(rejected))) AS k FROM r),
+t AS (SELECT conv_id, k, chosen[1:k] AS pr, chosen[k + 1:] AS ch, rejected[k + 1:] AS re FROM n),
+x AS (SELECT conv_id, k,
+      list_transform(pr, lambda t: concat('<|', t.role, chr(10), t.text, '<|end|>', chr(10))) AS pl,
+      list_transform(ch, lambda t: concat('<|', t.role, chr(10), t.text, '<|end|>', chr(10))) AS cl,
+      list_transform(re, lambda t: concat('<|', t.role, chr(10), t.text, '<|end|>', chr(10))) AS rl, ch, re FROM t)
+SELECT conv_id, k::INTEGER AS prompt_turns, list_aggregate(list_concat([''], pl), 'string_agg', '') AS prompt,
+       list_aggregate(list_concat([''], cl), 'string_agg', '') AS chosen_text, list_aggregate(list_concat([''], rl), 'string_agg', '') AS rejected_text,
+       list_aggregate(list_concat([''], list_transform(list_filter(range(1, len(ch) + 1), lambda i: ch[i].role = 'assistant'),
+           lambda i: concat(coalesce(list_sum(list_transform(cl[1:i], lambda s: length(s))), 0) - length(cl[i]) + 12, '-', coalesce(list_sum(list_transform(cl[1:i], lambda s: length(s))), 0), ' '))), 'string_agg', '') AS chosen_spans,
+       list_aggregate(list_concat([''], list_transform(list_filter(range(1, len(re) + 1), lambda i: re[i].role = 'assistant'),
+           lambda i: concat(coalesce(list_sum(list_transform(rl[1:i], lambda s: length(s))), 0) - length(rl[i]) + 12, '-', coalesce(list_sum(list_transform(rl[1:i], lambda s: length(s))), 0), ' '))), 'string_agg', '') AS rejected_spans
+FROM x
+""")
+def op2_preference_format(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.preference import branched_pairs, format_preferences
+
+    def spans(name: str):
+        return F.array_join(F.transform(name, lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["stop"].cast("string"), F.lit(" "))), "")
+
+    pairs = branched_pairs(table(spark, folder, "conversations"))
+    return format_preferences(pairs).select("conv_id", "prompt_turns", "prompt", "chosen_text", "rejected_text",
+                                            spans("chosen_mask").alias("chosen_spans"), spans("rejected_mask").alias("rejected_spans"))
+
+
+@query("op4_ngram_jaccard", """
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [list_aggregate(w, 'string_agg', ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2], ' ', w[i + 3]))) END AS g FROM t),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS token FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.token = b.token AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, m.component_id
+FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = s.doc_id
+""")
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, folder, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_url_filter")
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.url_filter import ALLOW, BLOCK, judge
+
+    rules = [("com/", ALLOW), ("example.com/en/", BLOCK), ("www.example.com/en/", ALLOW), ("net/es/", BLOCK), ("net/fr/", BLOCK)]
+    return judge(table(spark, folder, "pages"), rules)
