@@ -120,3 +120,10 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
     rules = [("com/", ALLOW), ("example.com/en/", BLOCK), ("www.example.com/en/", ALLOW), ("net/es/", BLOCK), ("net/fr/", BLOCK)]
     return judge(table(spark, folder, "pages"), rules)
+
+
+@query("op9_lm_score")
+def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.ngram_lm import score_documents
+
+    return score_documents(table(spark, folder, "documents"), fold=5, held=1)
