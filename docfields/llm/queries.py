@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,3 +129,15 @@ def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     from docfields.llm.ngram_lm import score_documents
 
     return score_documents(table(spark, folder, "documents"), fold=5, held=1)
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file; $TOKENIZERS names another folder than the default."""
+    return os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), name)
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
