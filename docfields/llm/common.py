@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
@@ -67,3 +68,28 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers byte plane by byte plane: the empty high planes cost nothing once compressed."""
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data), dtype=np.uint64)
+
+
+def key_ranges(keys: np.ndarray, values: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(range, keys, values) of the non-empty ranges when sorted 64-bit keys are cut by their first ``bits`` bits (1 or more)."""
+    at = np.searchsorted(keys, np.arange(1, 2**bits, dtype=np.uint64) << np.uint64(64 - bits))
+    for part, (k, v) in enumerate(zip(np.split(keys, at), np.split(values, at))):
+        if len(k):
+            yield part, k, v

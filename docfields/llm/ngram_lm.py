@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import ascii_words, kept, mixed
+from docfields.llm.common import ascii_words, from_planes, key_ranges, kept, mixed, packed_keys, planes, unpacked_keys
 
 TOKENS_PER_CHUNK = 2_500_000
 CHARS_PER_BUCKET = 8_000_000
@@ -37,23 +37,6 @@ END, START = 0, 1
 _MARKS = [xxhash.xxh64_intdigest(m) for m in (b" end", b" start")]
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Unsigned numbers byte plane by byte plane: the empty high planes cost nothing once compressed."""
-    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-
-
-def packed_keys(keys: np.ndarray) -> bytes:
-    return planes(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(data), dtype=np.uint64)
-
-
 class Codes(dict):
     """word -> code in order of appearance, after the marks."""
 
@@ -86,10 +69,8 @@ def _chunks(docs: DataFrame, fold: int, held: int, bits: int) -> DataFrame:
     """Per chunk: its documents as codes, its words as hashes, its distinct n-grams with training counts by key range."""
 
     def ranges(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-        at = np.searchsorted(keys, np.arange(1, 2**bits, dtype=np.uint64) << np.uint64(64 - bits))
-        for bucket, (k, c) in enumerate(zip(np.split(keys, at), np.split(counts, at))):
-            if len(k):
-                yield kind, chunk, bucket, None, None, packed_keys(k), planes(c)
+        for bucket, k, c in key_ranges(keys, counts, bits):
+            yield kind, chunk, bucket, None, None, packed_keys(k), planes(c)
 
     def flush(chunk: int, ids: list, out: list, codes: list[np.ndarray], table: Codes) -> Iterator[pa.RecordBatch]:
         hashes = table.hashes()

@@ -141,3 +141,10 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from docfields.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+@query("op10_imatch")
+def op10_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.imatch import fingerprint_documents
+
+    return fingerprint_documents(table(spark, folder, "documents"))
