@@ -148,3 +148,10 @@ def op10_imatch(spark: SparkSession, folder: str) -> DataFrame:
     from docfields.llm.imatch import fingerprint_documents
 
     return fingerprint_documents(table(spark, folder, "documents"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.compression import classify
+
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
