@@ -131,6 +131,10 @@ def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(table(spark, folder, "documents"), fold=5, held=1)
 
 
+# fixed value: the split pattern that belongs to the byte-level vocabularies
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file; $TOKENIZERS names another folder than the default."""
     return os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), name)
@@ -155,3 +159,23 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     from docfields.llm.compression import classify
 
     return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.separator_scan import document_token_counts
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+
+    def encode():
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+
+    # the file name depends on the task attempt, so the digest leaves it out
+    return document_token_counts(table(spark, folder, "documents"), encode, end_id=50256).select("doc_id", "n_tokens")
