@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from docfields.llm.common import ascii_words, from_planes, key_ranges, kept, mixed, packed_keys, planes, unpacked_keys
 
-TOKENS_PER_CHUNK = 2_500_000
+TOKENS_PER_CHUNK = 2_000_000
+DOCUMENTS_PER_ROW = 1000
 CHARS_PER_BUCKET = 8_000_000
 #: (mu, kappa) to choose from
 GRID = tuple((mu, kappa) for mu in (0.1, 0.4, 0.7, 0.95) for kappa in (2.0, 50.0))
@@ -48,6 +49,10 @@ class Codes(dict):
         return np.fromiter(_MARKS + [xxhash.xxh64_intdigest(w) for w in self], np.uint64, len(self) + 2)
 
 
+def held_out(ids: list, fold: int, held: int) -> np.ndarray:
+    return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % fold == held for i in ids], bool)
+
+
 def bigrams(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(histories, words, first positions) of the documents laid end to end."""
     words = np.concatenate(codes)
@@ -59,9 +64,8 @@ def bigrams(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return histories, words, starts
 
 
-SCHEMA = "kind int, chunk long, bucket int, doc_id long, held_out boolean, data binary, counts binary"
-_FIELDS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
-                     ("data", pa.binary()), ("counts", pa.binary())])
+SCHEMA = "kind int, chunk long, bucket int, ids array<long>, data binary, counts binary"
+_FIELDS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("data", pa.binary()), ("counts", pa.binary())])
 DOC, WORDS, UNIGRAMS, BIGRAMS = 0, -1, 1, 2
 
 
@@ -70,27 +74,28 @@ def _chunks(docs: DataFrame, fold: int, held: int, bits: int) -> DataFrame:
 
     def ranges(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
         for bucket, k, c in key_ranges(keys, counts, bits):
-            yield kind, chunk, bucket, None, None, packed_keys(k), planes(c)
+            yield kind, chunk, bucket, None, packed_keys(k), planes(c)
 
-    def flush(chunk: int, ids: list, out: list, codes: list[np.ndarray], table: Codes) -> Iterator[pa.RecordBatch]:
+    def flush(chunk: int, ids: list, codes: list[np.ndarray], table: Codes) -> Iterator[pa.RecordBatch]:
         hashes = table.hashes()
-        histories, words, starts = bigrams(codes)
-        training = np.repeat(~np.array(out, bool), [len(c) for c in codes])
+        out = held_out(ids, fold, held)
+        histories, words, _ = bigrams(codes)
+        training = np.repeat(~out, [len(c) for c in codes])
         keys, inverse = np.unique(hashes, return_inverse=True)
         counts = np.bincount(inverse[words[training]], minlength=len(keys))
-        counts[inverse[START]] += sum(not x for x in out)
-        rows = [(WORDS, chunk, 0, None, None, hashes.tobytes(), None), *ranges(UNIGRAMS, chunk, keys, counts)]
+        counts[inverse[START]] += int((~out).sum())
+        rows = [(WORDS, chunk, 0, None, hashes.tobytes(), None), *ranges(UNIGRAMS, chunk, keys, counts)]
         keys, inverse = np.unique(mixed(hashes[histories], hashes[words]), return_inverse=True)
         rows += ranges(BIGRAMS, chunk, keys, np.bincount(inverse[training], minlength=len(keys)))
-        for at in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 64]), _FIELDS)], schema=_FIELDS)
-        for at in range(0, len(ids), 1000):
-            part = [(DOC, chunk, 0, i, h, c.tobytes(), None) for i, h, c in zip(ids[at : at + 1000], out[at : at + 1000], codes[at : at + 1000])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _FIELDS)], schema=_FIELDS)
+        for row, at in enumerate(range(0, len(ids), DOCUMENTS_PER_ROW)):
+            some = codes[at : at + DOCUMENTS_PER_ROW]
+            rows.append((DOC, chunk, row, ids[at : at + DOCUMENTS_PER_ROW], planes(np.concatenate(some)), planes(np.array([len(c) for c in some]))))
+        for at in range(0, len(rows), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 16]), _FIELDS)], schema=_FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        table, ids, out, codes, size = Codes(), [], [], [], 0
+        table, ids, codes, size = Codes(), [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 words = ascii_words(text.as_py() or b"")
@@ -98,14 +103,13 @@ def _chunks(docs: DataFrame, fold: int, held: int, bits: int) -> DataFrame:
                 mine[:-1] = np.fromiter(map(table.__getitem__, words), np.int32, len(words))
                 mine[-1] = END
                 ids.append(doc_id)
-                out.append(zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % fold == held)
                 codes.append(mine)
                 size += len(mine)
                 if size >= TOKENS_PER_CHUNK:
-                    yield from flush(chunk, ids, out, codes, table)
-                    chunk, table, ids, out, codes, size = chunk + 1, Codes(), [], [], [], 0
+                    yield from flush(chunk, ids, codes, table)
+                    chunk, table, ids, codes, size = chunk + 1, Codes(), [], [], 0
         if codes:
-            yield from flush(chunk, ids, out, codes, table)
+            yield from flush(chunk, ids, codes, table)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
@@ -146,12 +150,14 @@ class Automaton:
         return np.log10(arc + (1 - part) * root)
 
 
-def _scores(n: int, v: int, once: int):
+def _scores(n: int, v: int, once: int, fold: int, held: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = np.array(left["kind"].to_pylist())
         hashes = np.frombuffer(left["data"][int(np.flatnonzero(kinds == WORDS)[0])].as_py(), np.uint64)
         docs = left.filter(pa.array(kinds == DOC))
-        codes = [np.frombuffer(x.as_py(), np.int32) for x in docs["data"]]
+        ids = [i for row in docs["ids"].to_pylist() for i in row]
+        sizes = np.concatenate([from_planes(x) for x in docs["counts"].to_pylist()]).astype(np.int64)
+        codes = np.split(np.concatenate([from_planes(x) for x in docs["data"].to_pylist()]).astype(np.int32), np.cumsum(sizes)[:-1])
         right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         totals = {k: np.concatenate([from_planes(x) for kind, x in zip(right["kind"].to_pylist(), right["totals"].to_pylist()) if kind == k]).astype(np.int64)
                   for k in (UNIGRAMS, BIGRAMS)}
@@ -159,9 +165,8 @@ def _scores(n: int, v: int, once: int):
         histories, words, starts = bigrams(codes)
         _, first, arcs = np.unique(mixed(hashes[histories], hashes[words]), return_index=True, return_inverse=True)
         automaton = Automaton(counts, histories[first], words[first], totals[BIGRAMS], n, once)
-        held = np.array(docs["held_out"].to_pylist(), bool)
-        sizes = np.array([len(c) for c in codes])
-        seen = np.bincount(arcs[np.repeat(~held, sizes)], minlength=len(first))
+        out = held_out(ids, fold, held)
+        seen = np.bincount(arcs[np.repeat(~out, sizes)], minlength=len(first))
         trained = seen > 0
         # one run from left to right: the state is the last word, and the arcs passed are added up
         scores = np.stack([np.add.reduceat(automaton.weights(*g)[arcs], starts) for g in GRID], axis=1)
@@ -169,7 +174,7 @@ def _scores(n: int, v: int, once: int):
         base = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))[words]
         rows = len(codes)
         return pa.table({
-            "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(sizes, pa.int64()),
+            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(out), "n_tokens": pa.array(sizes, pa.int64()),
             "n_known": pa.array(np.add.reduceat((counts > 0)[words].astype(np.int64), starts), pa.int64()),
             "base_score": pa.array(np.add.reduceat(base, starts), pa.float64()),
             "scores": pa.array(list(scores), pa.list_(pa.float64())),
@@ -198,10 +203,10 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     answers = kept(grams.groupBy("kind", "bucket").applyInArrow(_totals, "kind int, chunk long, bucket int, totals binary, n long, v long, once long"))
     sums = answers.filter((F.col("chunk") == -1) & (F.col("kind") == UNIGRAMS)).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once")]).first()
     n, v, once = (int(x) for x in sums)
-    left = chunks.filter(F.col("kind").isin(DOC, WORDS)).select("chunk", "kind", "doc_id", "held_out", "data")
+    left = chunks.filter(F.col("kind").isin(DOC, WORDS)).select("chunk", "kind", "ids", "data", "counts")
     right = answers.filter("chunk >= 0").select("chunk", "kind", "bucket", "totals")
     scored = kept(left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
-        _scores(n, v, once), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, apart array<double>"))
+        _scores(n, v, once, fold, held), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, apart array<double>"))
     likelihoods = scored.agg(*[F.coalesce(F.sum(F.col("apart")[i]), F.lit(0.0)) for i in range(len(GRID))]).first()
     best = max(range(len(GRID)), key=lambda i: likelihoods[i])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score",
