@@ -254,6 +254,29 @@ def similar_within(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, p
     return found
 
 
+def _possible(texts: DataFrame, ids: DataFrame, most_bits: int = 2**27) -> DataFrame:
+    """The rows of (doc_id, text) whose doc_id may be among ``ids``, by a bitmap of hashed ids of at most ``most_bits`` bits.
+
+    It spares the join that follows the shuffle of most texts. Where ids are too many for it, it lets more rows through.
+    """
+    bits = min(most_bits, max(2**15, 2 ** math.ceil(math.log2(16 * max(1, ids.count())))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    parts = (ids.select(F.col("rep").alias("doc_id")).select(place.alias("p"))
+             .groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap")).collect())
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        bitmap[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bitmap"], np.uint8)
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False) - 1
+            found = batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], ["doc_id", "text"])
+
+    return texts.filter("doc_id IS NOT NULL").select("doc_id", "text", place.alias("p")).mapInArrow(run, "doc_id long, text string")
+
+
 def _check_tiles(docs: DataFrame, members: DataFrame, loose: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified edges (a, b) between sets of one loose cluster.
 
@@ -279,7 +302,7 @@ def _check_tiles(docs: DataFrame, members: DataFrame, loose: DataFrame, n: int,
                                    "tokens": _binary([sets_[i].tobytes() for i in right])})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = texts.join(placed, F.col("doc_id") == F.col("rep")).select("set_key", "text", "cluster", "blocks", "block")
+    asked = _possible(texts, known.select("rep")).join(placed, F.col("doc_id") == F.col("rep")).select("set_key", "text", "cluster", "blocks", "block")
     sent = asked.mapInArrow(tokens, "set_key long, cluster long, blocks long, block long, tokens binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     tiles = (sent.withColumn("other", other)
