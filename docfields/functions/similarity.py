@@ -25,9 +25,11 @@ def _ratio_udf():
     return F.pandas_udf(ratio, T.DoubleType())
 
 
-def similarity(left: Column, right: Column) -> Column:
-    """Matched characters over mean length. The argument order matters: the value comes first."""
-    return _ratio_udf()(left, right)
+def similarity(left: Column, right: Column, once: bool = False) -> Column:
+    """Matched characters over mean length. The argument order matters: the value comes first. With ``once`` the optimizer
+    may neither repeat the call nor move it, so a filter on the score does not score a second time."""
+    ratio = _ratio_udf()
+    return (ratio.asNondeterministic() if once else ratio)(left, right)
 
 
 def _closeness_udf(target: str):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.operators.fuzzy import best_matches
+from docfields.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------------------------------
 FUZZY_FIELDS = ("Branch", "Source", "Destination", "Consignor", "Consignee")
@@ -92,15 +93,18 @@ def transform_records(records: DataFrame, rules: DataFrame, fields=TRANSFORMED_F
     stack = ", ".join(f"'{f}', `{f}`" for f in present)
     pairs = records.selectExpr(f"stack({len(present)}, {stack}) as (field, value)").filter(
         F.coalesce(F.col("value"), F.lit("")) != "").distinct()
-    resolved = resolve_values(pairs, rules, threshold)
+    # every pair tries its own field, lower-case aliases also the capitalised one; all tries are resolved in one go
+    tries = F.array(F.struct(F.lit(0).alias("chance"), F.col("field").alias("try")))
     if not compat:
-        # second chance under the capitalised field name
         own = F.initcap(F.regexp_replace(F.col("field"), "_(number|name)$", ""))
-        lower = pairs.filter(F.lower("field") == F.col("field")).join(resolved, ["field", "value"], "left_anti")
-        second = resolve_values(lower.select(own.alias("field"), "value").distinct(), rules, threshold)
-        second = lower.withColumn("_own", own).join(
-            second.withColumnRenamed("field", "_own"), ["_own", "value"]).select("field", "value", "to_value", "score")
-        resolved = resolved.unionByName(second)
+        tries = F.when(F.lower("field") == F.col("field"), F.array(
+            F.struct(F.lit(0).alias("chance"), F.col("field").alias("try")), F.struct(F.lit(1).alias("chance"), own.alias("try")))).otherwise(tries)
+    tried = pairs.select("field", "value", F.explode(tries).alias("t")).select("field", "value", "t.chance", "t.try")
+    known = resolve_values(tried.select(F.col("try").alias("field"), "value").distinct(), rules, threshold)
+    found = tried.join(known.withColumnRenamed("field", "try"), ["try", "value"]).groupBy("field", "value").agg(
+        F.min_by("to_value", "chance").alias("to_value"))
+    # one join per field reads it: written once to the shared folder
+    resolved = cut_lineage(found)
     out = records
     for i, f in enumerate(present):
         side = resolved.filter(F.col("field") == f).select(F.col("value").alias(f), F.col("to_value").alias(f"_new{i}"))
