@@ -67,8 +67,9 @@ def is_country_line(line: Column) -> Column:
     listed = F.lit(False)
     for variant in COUNTRY_VARIANTS:
         listed = listed | F.contains(letters, F.lit(variant))
-    # 2M/(n+5) > 0.7 needs n <= 9
-    return listed | (F.length(letters).between(3, 9) & (similarity(letters, F.lit(COUNTRY)) > 0.7))
+    # 2M/(n+5) > 0.7 needs n <= 9; all other lines send NULL to the scorer, which runs on every row whatever stands around it
+    short = F.when(~listed & F.length(letters).between(3, 9), letters)
+    return listed | F.coalesce(similarity(short, F.lit(COUNTRY)) > 0.7, F.lit(False))
 
 
 def strip_line_end(line: Column) -> Column:

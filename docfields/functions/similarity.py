@@ -45,12 +45,12 @@ def _closeness_udf(target: str):
                 known[word] = SequenceMatcher(None, word, target).ratio()
             return known[word]
 
-        return pd.Series([None if ws is None else [score(w) for w in ws] for ws in words])
+        return pd.Series([None if ws is None else [None if w is None else score(w) for w in ws] for ws in words])
 
     closeness.__annotations__ = {"words": pd.Series, "return": pd.Series}
     return F.pandas_udf(closeness, T.ArrayType(T.DoubleType()))
 
 
 def word_closeness(words: Column, target: str) -> Column:
-    """Similarity of every word of an array to one fixed word; each different word is scored once per batch."""
+    """Similarity of every word of an array to one fixed word; each different word is scored once per batch, NULL gets NULL."""
     return _closeness_udf(target)(words)

@@ -551,8 +551,7 @@ def _finish_c(df: DataFrame, keep, preferred_names) -> DataFrame:
     from docfields.functions.text import category_of, gst_number, pan_number
 
     t, c = F.col("_text"), F.col
-    named = over_lines(t, lambda line: F.when(F.upper(line).rlike("|".join(C.CONSIGNOR_WORDS)), _consignor_city(F.upper(line))))
-    df = with_similar_labels(df.withColumns({"destination": destination_c(t), "consignor": named}), "_text")
+    df = with_similar_labels(df.withColumns({"destination": destination_c(t), "consignor": F.lit(None).cast("string")}), "_text")
     return df.select(
         *keep,
         branch_text(t).alias("branch"), invoice_day_c(t, c("invoice_date")).alias("invoice_date"),
@@ -585,18 +584,37 @@ def with_similar_labels(df: DataFrame, text: str = "text") -> DataFrame:
     from docfields.functions.similarity import word_closeness
 
     t = F.col(text)
-    words, plain = F.col("_words"), F.col("_plain")
-    need_place = F.when(F.col("destination").isNull(), F.transform(plain, F.lower))
-    need_plate = F.when(F.col("vehicle_no").isNull(), F.transform(plain, F.lower))
-    upper_words = F.when(F.col("consignor").isNull(), F.transform(words, F.upper))
-    split = df.withColumn("_words", F.split(F.trim(t), r"\s+")).withColumn(
-        "_plain", F.transform("_words", lambda w: sub(w, "[^a-zA-Z0-9]")))
-    scored = split.withColumns({
+    words, plain, rows = F.col("_words"), F.col("_plain"), F.col("_rows")
+
+    def bare(word: Column) -> Column:
+        return F.lower(sub(word, "[^a-zA-Z0-9]"))
+
+    def words_of(line: Column) -> Column:
+        return F.filter(F.split(F.trim(line), r"\s+"), lambda w: w != "")
+
+    # the consignor is read line by line, so only words above the first line that names it in full can matter
+    upper_rows = F.transform(rows, F.upper)
+    named = F.transform(upper_rows, lambda line: line.rlike("|".join(C.CONSIGNOR_WORDS)) & _consignor_city(line).isNotNull())
+    above = F.coalesce(F.nullif(F.array_position(named, True), F.lit(0)) - 1, F.size(rows)).cast("int")
+    need_place = F.when(F.col("destination").isNull(), plain)
+    need_plate = F.when(F.col("vehicle_no").isNull(), plain)
+    split = df.withColumns({"_rows": F.split(t, "\n"), "_words": words_of(t)}).withColumn("_plain", F.transform("_words", bare))
+    upper_words = F.when(F.col("consignor").isNull(), F.flatten(F.transform(F.slice(upper_rows, F.lit(1), above), words_of)))
+    scored = split.withColumn("_upper", upper_words).withColumns({
         "_dispatch": word_closeness(need_place, "dispatch"), "_to": word_closeness(need_place, "to"),
         "_vehicle": word_closeness(need_plate, "vehicle"),
-        **{f"_c{i}": word_closeness(upper_words, token.upper()) for i, (token, _) in enumerate(C.CONSIGNOR_TOKENS)},
+        **{f"_c{i}": word_closeness(F.col("_upper"), token.upper()) for i, (token, _) in enumerate(C.CONSIGNOR_TOKENS)},
     })
 
+    def like(words: Column, scores: Column, limit: float) -> Column:
+        return F.filter(words, lambda w, i: F.get(scores, i) >= limit)
+
+    marks = F.array_distinct(F.flatten(F.array(*[like(F.col("_upper"), F.col(f"_c{n}"), limit) for n, limit in _token_limits()])))
+    marked = F.when(F.col("consignor").isNull(), F.filter(upper_rows, lambda line: line.rlike("|".join(C.CONSIGNOR_WORDS)) | F.arrays_overlap(words_of(line), marks)))
+    scored = scored.withColumn("_marked", marked).withColumns({
+        f"_town{i}": word_closeness(F.transform("_marked", lambda line: F.when(F.length(line) <= 3 * len(town), line)), town)
+        for i, (town, _) in enumerate(C.CONSIGNOR_CITIES)})
+
     def place(i: Column) -> Column:
         """Up to four words after a ``to``-like word within three words of the label."""
         to_at = _first(F.filter(F.sequence(i + 1, F.least(i + 3, F.size(words) - 1)), lambda j: F.get(F.col("_to"), j) >= 0.6))
@@ -612,22 +630,31 @@ def with_similar_labels(df: DataFrame, text: str = "text") -> DataFrame:
     labels = F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: (
         (F.length(F.get(plain, i)) >= 5) & (F.get(F.col("_dispatch"), i) >= 0.5)))
     places = F.filter(F.transform(labels, place), lambda v: v.isNotNull())
-    vehicle_at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (
-        (F.length(F.get(plain, i)) >= 5) & (F.get(F.col("_vehicle"), i) >= 0.6)))
-    # the rest of the label's own line holds the plate
-    plates = F.transform(vehicle_at, lambda i: NORMALISERS["plate_2"](hit(
-        F.substring_index(F.array_join(F.slice(words, i + 1, 8), " "), "\n", 1), C.PLATE_IN_LINE)))
-    plates = F.filter(plates, lambda p: F.length(p).between(8, 12) & p.rlike(r"^\p{L}{2}"))
-    marks = F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(F.col(f"_c{n}"), i) >= limit), lambda i: F.get(words, i))
-        for n, limit in _token_limits()])))
-    line_with_mark = over_lines(t, lambda line: F.when(
-        F.exists(marks, lambda m: F.contains(line, m)) | F.upper(line).rlike("|".join(C.CONSIGNOR_WORDS)), _consignor_city(F.upper(line))))
-    consignor = F.coalesce(line_with_mark, _consignor_city(F.upper(t)), F.lit(C.CONSIGNOR_NAME))
+    cars = F.array_distinct(F.filter(like(plain, F.col("_vehicle"), 0.6), lambda w: F.length(w) >= 5))
+
+    def plate_on(line: Column) -> Column:
+        """The plate in the rest of the line from its first label-like word on."""
+        def rest(own: Column) -> Column:
+            at = F.array_position(F.transform(own, lambda w: F.array_contains(cars, bare(w))), True).cast("int")
+            return F.when(at > 0, F.array_join(F.slice(own, at, F.size(own)), " "))
+
+        plate = let(words_of(line), lambda own: NORMALISERS["plate_2"](hit(rest(own), C.PLATE_IN_LINE)))
+        return let(plate, lambda p: F.when(F.length(p).between(8, 12) & p.rlike(r"^\p{L}{2}"), p))
+
+    plate = F.when(F.size(cars) > 0, over_lines(t, plate_on))
+
+    def town_of(i: Column) -> Column:
+        line = F.get(F.col("_marked"), i)
+        return F.coalesce(*[F.when(F.contains(line, F.lit(k)) | (F.get(F.col(f"_town{n}"), i) >= 0.5), f"{C.CONSIGNOR_NAME}-{v}")
+                            for n, (k, v) in enumerate(C.CONSIGNOR_CITIES)])
+
+    in_line = F.when(F.size("_marked") > 0, _first(F.filter(F.transform(F.sequence(F.lit(0), F.size("_marked") - 1), town_of), lambda v: v.isNotNull())))
+    consignor = F.coalesce(in_line, _consignor_city(F.upper(t)), F.lit(C.CONSIGNOR_NAME))
     return scored.withColumns({
-        "destination": F.coalesce("destination", _first(places)), "vehicle_no": F.coalesce("vehicle_no", _first(plates)),
+        "destination": F.coalesce("destination", _first(places)), "vehicle_no": F.coalesce("vehicle_no", plate),
         "consignor": F.coalesce("consignor", consignor),
-    }).drop("_words", "_plain", "_dispatch", "_to", "_vehicle", *[f"_c{i}" for i in range(len(C.CONSIGNOR_TOKENS))])
+    }).drop("_words", "_plain", "_rows", "_upper", "_marked", "_dispatch", "_to", "_vehicle", *[f"_c{i}" for i in range(len(C.CONSIGNOR_TOKENS))],
+            *[f"_town{i}" for i in range(len(C.CONSIGNOR_CITIES))])
 
 
 def _token_limits() -> list[tuple[int, float]]:

@@ -133,7 +133,7 @@ def invoices(spark: SparkSession, folder: str) -> DataFrame:
         line("Valid Upto: ", smudge(c("expiry"))),
         F.lit("UltraTech Cement Limited"),
     )
-    return spread(invoice_values(spark, folder)).select("doc_id", text.alias("text"))
+    return spread(invoice_values(spark, folder), "doc_id").select("doc_id", text.alias("text"))
 
 
 # ---- processing log and pages, from events -----------------------------------------------------------

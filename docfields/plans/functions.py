@@ -249,7 +249,7 @@ def second_format(spark, folder):
         F.concat(F.lit("CEMENT "), c("material_text")), c("goods_text"))
     from docfields.session import spread
 
-    docs = spread(invoice_values(spark, folder)).select("doc_id", text.alias("text"))
+    docs = spread(invoice_values(spark, folder), "doc_id").select("doc_id", text.alias("text"))
     return X.extract_fields(docs, 1, 2)
 
 
@@ -278,7 +278,7 @@ def _pages(spark, folder):
         F.concat(F.when(k % 5 == 0, "V6hicle No ").otherwise("Vehicle No : "), c("vehicle")),
         F.concat(F.when(k % 2 == 0, "E-Way No/Validity : ").otherwise("xx "), c("eway_no"), F.lit(" - "), F.translate(F.substring("expiry", 1, 10), ".", ":")),
         F.lit("JSW CEMENT LIMITED - SALEM works"), F.lit("PAN NO: AABCJ6731B"), F.lit("GSTIN: 33AABCJ6731B1Z3"), F.lit("PSC L1PP BAG"))
-    return spread(invoice_values(spark, folder)).select("doc_id", text.alias("text"))
+    return spread(invoice_values(spark, folder), "doc_id").select("doc_id", text.alias("text"))
 
 
 @query("p17_p24_second_client_pages", f"""
@@ -310,10 +310,13 @@ def destination_damaged(spark, folder):
                                  .withColumn("consignor", F.lit("x"))).select("doc_id", "destination")
 
 
-@query("p18_vehicle_damaged_label", f"WITH {INVOICE_SQL} SELECT doc_id, vehicle AS vehicle_no FROM truth")
+# a readable label, a damaged one, a damaged one with the plate on the next line (not its plate), and one with words between
+@query("p18_vehicle_damaged_label", f"WITH {INVOICE_SQL} SELECT doc_id, CASE WHEN doc_id % 4 != 2 THEN vehicle END AS vehicle_no FROM truth")
 def vehicle_damaged(spark, folder):
-    k = F.col("doc_id")
-    text = F.concat(F.lit("old v1\n"), F.when(k % 2 == 0, "Vehicle No. : ").otherwise("x V6hic1e N0 "), F.col("vehicle"))
+    k = F.col("doc_id") % 4
+    label = (F.when(k == 0, "Vehicle No. : ").when(k == 1, "x V6hic1e N0 ").when(k == 2, "x V6hic1e N0\n")
+             .otherwise("x V6hic1e N0 as seen at the gate of the yard by our own man there "))
+    text = F.concat(F.lit("old v1\n"), label, F.col("vehicle"))
     from docfields.rules import rule_pack
 
     docs = invoice_values(spark, folder).select("doc_id", text.alias("text"))
@@ -323,12 +326,13 @@ def vehicle_damaged(spark, folder):
 
 
 @query("p20_consignor_damaged", f"""
-WITH {INVOICE_SQL} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'JSW CEMENT LTD-POTTANERI' WHEN 1 THEN 'JSW CEMENT LTD-NANDYAL' WHEN 2 THEN 'JSW CEMENT LTD' ELSE 'JSW CEMENT LTD-POTTANERI' END AS consignor FROM truth
+WITH {INVOICE_SQL} SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'JSW CEMENT LTD-NANDYAL' WHEN 2 THEN 'JSW CEMENT LTD' WHEN 4 THEN 'JSW CEMENT LTD-NANDYAL' ELSE 'JSW CEMENT LTD-POTTANERI' END AS consignor FROM truth
 """)
 def consignor_damaged(spark, folder):
     from docfields.plans.derive import pick
 
-    text = pick(("from JSVCL, Salem", "SALEM road\nJSW plant Nandyal", "nothing here", "other works, salem"), F.col("doc_id"))
+    text = pick(("from JSVCL, Salem", "SALEM road\nJSW plant Nandyal", "nothing here", "other works, salem",
+                 "JSVCL works Nandyal\nJSW CEMENT LIMITED Salem", "JSWCL Salim"), F.col("doc_id"))
     docs = invoice_values(spark, folder).select("doc_id", text.alias("text"))
     return X.with_similar_labels(docs.withColumn("vehicle_no", F.lit("x")).withColumn("destination", F.lit("x"))
                                  .withColumn("consignor", F.lit(None).cast("string"))).select("doc_id", "consignor")

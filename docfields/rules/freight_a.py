@@ -37,8 +37,8 @@ MOBILE = [rf"\b([6-9]{DIGIT}{{9}})\b"]
 
 UNIT = r"(?:MT|M\.?T\.?|TON|TONNE|T|BAG|BAGS|KG|KGS|QUINTAL|QTL|METRIC\s*TON)"
 CURRENCY = r"(?:Rs\.?|₹|INR)\s*"
-# digit groups with single separators; written without nested repeats so that matching stays linear
-AMOUNT = r"([0-9OIlSs](?:[,\.\s]?[0-9OIlSs]){0,400}(?:\.[0-9OIlSsao]+)?)"
+# digits and single separators, each followed by a digit; one character at a time, so that a run of any length needs no recursion
+AMOUNT = r"([0-9OIlSs](?:[0-9OIlSs,\.\s](?<=[0-9OIlSs]|[,\.\s](?=[0-9OIlSs])))*(?:\.[0-9OIlSsao]+)?)"
 RATE = [
     rf"@\s*{CURRENCY}{AMOUNT}\s*(?:Per|P[a-z]{{0,2}})\s*{UNIT}",
     rf"@\s*{CURRENCY}{AMOUNT}\s*/\s*{UNIT}",

@@ -33,14 +33,12 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work at least as many partitions as there are cores.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows that are small but costly to work on by their keys to ``spark.sql.shuffle.partitions`` tasks.
 
-    Only an input with fewer splits than cores (one small file) is repartitioned; a large scan is left alone, so no
-    shuffle is added where the data is big.
+    The count is explicit, so adaptive execution does not merge the tasks by their few bytes.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
