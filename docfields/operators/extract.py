@@ -8,6 +8,7 @@ patterns run only on rows where earlier ones found nothing.
 from __future__ import annotations
 
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -152,15 +153,15 @@ def run_rules(docs: DataFrame, pack: RulePack, text: str = "text", fields: list[
         (tuple(pack.rules), text, tuple(wanted)), lambda: {f: compile_field(pack.of(f), F.col(text)) for f in wanted}))
 
 
-_COLUMNS: dict = {}
+_COLUMNS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def _compiled(key, build):
     """Compiled columns are unbound expressions; micro-batches of one driver reuse them."""
-    gateway = SparkContext._gateway
-    if (id(gateway), key) not in _COLUMNS:
-        _COLUMNS[(id(gateway), key)] = build()
-    return _COLUMNS[(id(gateway), key)]
+    known = _COLUMNS.setdefault(SparkContext._gateway, {})
+    if key not in known:
+        known[key] = build()
+    return known[key]
 
 
 def extract_fields(docs: DataFrame, client_id: int, format_id: int, text: str = "text", keep=("doc_id",),
@@ -552,9 +553,10 @@ def _finish_c(df: DataFrame, keep, preferred_names) -> DataFrame:
 
     t, c = F.col("_text"), F.col
     df = with_similar_labels(df.withColumns({"destination": destination_c(t), "consignor": F.lit(None).cast("string")}), "_text")
+    df = correct_branches(df.withColumn("branch", branch_text(t)))
     return df.select(
         *keep,
-        branch_text(t).alias("branch"), invoice_day_c(t, c("invoice_date")).alias("invoice_date"),
+        "branch", invoice_day_c(t, c("invoice_date")).alias("invoice_date"),
         c("destination"), c("vehicle_no"), c("eway_bill_no"),
         eway_day(t, c("eway_bill_no")).alias("eway_date"), pan_number(t).alias("pan_no"),
         gst_number(t).alias("gst_no"), category_of(t).alias("product_category"),
@@ -563,17 +565,20 @@ def _finish_c(df: DataFrame, keep, preferred_names) -> DataFrame:
 
 
 def correct_branches(pages: DataFrame, known=C.KNOWN_BRANCHES, threshold: float = 0.75) -> DataFrame:
-    """Branches replaced by the closest known one (J3); unknown ones stay.
+    """``branch`` replaced by the closest known one, the first of equally close ones; unknown ones stay, upper-cased.
 
-    The pages are read twice (distinct branches, then the join back), so the extraction before it is checkpointed.
+    The known names are few and part of the plan, so every page is its own row's work: no join. Only values that are no
+    known name reach the scorer.
     """
-    from docfields.operators.correct import match_dictionary
-    from docfields.session import cut_lineage
-
-    pages = cut_lineage(pages)
-    names = pages.sparkSession.createDataFrame([(n, i) for i, n in enumerate(known)], "name string, ord int")
-    matched = match_dictionary(pages.select("branch").distinct(), names, threshold, "branch")
-    return pages.join(matched.select("branch", "matched"), "branch", "left").withColumn("branch", F.col("matched")).drop("matched")
+    from docfields.functions.similarity import similarity
+
+    own = F.nullif(F.upper(F.trim("branch")), F.lit(""))
+    odd = F.when(~own.isin(*known), own)
+    scored = pages.withColumns({f"_near{i}": similarity(odd, F.lit(n)) for i, n in enumerate(known)})
+    best = F.array_min(F.array(*[
+        F.when(F.col(f"_near{i}") >= threshold, F.struct((-F.col(f"_near{i}")).alias("score"), F.lit(i).alias("ord"), F.lit(n).alias("name")))
+        for i, n in enumerate(known)]))
+    return scored.withColumn("branch", F.coalesce(best["name"], own)).drop(*[f"_near{i}" for i in range(len(known))])
 
 
 def with_similar_labels(df: DataFrame, text: str = "text") -> DataFrame:

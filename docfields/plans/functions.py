@@ -27,14 +27,15 @@ def _filled_sql(shapes) -> str:
     letters = f"translate(lpad(CAST(o_orderkey AS VARCHAR), 6, '0'), '{KEY_DIGITS}', '{KEY_LETTERS}')"
     digits = "lpad(CAST(o_orderkey AS VARCHAR), 6, '0')"
     picked = f"list_extract([{', '.join(_quoted(s) for s in shapes)}], CAST(o_orderkey % {len(shapes)} + 1 AS INT))"
-    return f"replace(replace(CAST({picked} AS VARCHAR), '{{K}}', {letters}), '{{N}}', {digits})"
+    return f"replace(replace(replace(CAST({picked} AS VARCHAR), '{{K}}', {letters}), '{{N}}', {digits}), '{{D}}', right({digits}, 3))"
 
 
 def _filled(shapes) -> Column:
     k = F.col("o_orderkey")
     digits = F.lpad(k.cast("string"), 6, "0")
     picked = F.element_at(F.array(*[F.lit(s).cast("string") for s in shapes]), (k % len(shapes) + 1).cast("int"))
-    return F.replace(F.replace(picked, F.lit("{K}"), F.translate(digits, KEY_DIGITS, KEY_LETTERS)), F.lit("{N}"), digits)
+    named = F.replace(F.replace(picked, F.lit("{K}"), F.translate(digits, KEY_DIGITS, KEY_LETTERS)), F.lit("{N}"), digits)
+    return F.replace(named, F.lit("{D}"), F.right(digits, F.lit(3)))
 
 
 def cases(name: str, function, pairs) -> None:
@@ -155,8 +156,8 @@ def normalize_plate_second(spark, folder):
 
 
 cases("f13_shrink_plate", P.shrink_plate, [
-    ("KA01LAN0922", "KA01AN0922"), ("TN23AMS5290", "TN23AM5290"), ("TN45BQ0372", "TN45BQ0372"), ("TN23ABC55290", "TN23ABC55290"),
-    ("TN23AS55290", "TN23AS5290"), ("KA01LAND0922", "KA01AN0922"),
+    ("MP01LQR4{D}", "MP01QR4{D}"), ("GJ27XYS5{D}", "GJ27XY5{D}"), ("HR38WV6{D}", "HR38WV6{D}"), ("GJ27XYZ55{D}", "GJ27XYZ55{D}"),
+    ("GJ27XS55{D}", "GJ27XS5{D}"), ("MP01LQRD0{D}", "MP01QR0{D}"),
 ])
 
 
@@ -205,8 +206,8 @@ cases("f25_fix_address_text", A.fix_address_text, [
     ("{K}|East\tDNO {N}", "{K},East D NO: {N}"), ("D {N} Road ,,", "D NO: {N} Road"), ("a , , b {K}", "a,  b {K}"),
 ])
 cases("f26_local_cleanup", A.local_address_cleanup, [
-    ("Plot7 parvath puram, hosur {N}", "Plot7 Parvathpuram, Hosur {N}"), ("anna nagar 12.05.2025, {N}", "Annanagar, {N}"),
-    ("Name & Address of Delivery: v. alasara {N}", "Valasara {N}"),
+    ("Plot7 mettu puram, uppal {N}", "Plot7 Mettupuram, Uppal {N}"), ("lotus nagar 12.05.2025, {N}", "Lotusnagar, {N}"),
+    ("Name & Address of Delivery: v. erukkal {N}", "Verukkal {N}"),
 ])
 cases("f27_trailing_noise", T.trailing_noise_2, [("..{K} LIMITED x", "{K} LIMITED"), ("{K} *!", "{K}"), ("ab", "ab"), ("{K}-{N} #", "{K}-{N}")])
 cases("f27_trailing_noise_first", T.trailing_noise_1, [("..{K} LIMITED x", "..{K} LIMITED"), ("{K} *!", "{K}"), ("{K} B", "{K} B"), ("{K} 9", "{K}")])
@@ -215,7 +216,7 @@ cases("f29_flexible_pattern", lambda s: T.hit(s, "(?i)" + T.flexible_pattern("EW
     ("E.W.B {N}", "{N}"), ("e w_b: {N}", "{N}"), ("EXB {N}", None), ("EWB{N}", "{N}"),
 ])
 cases("f32_tax_numbers", lambda s: F.concat_ws("/", T.pan_number(s), T.gst_number(s)), [
-    ("PAN NO: AABCJ6731B", "AABCJ6731B"), ("GSTIN: 33AABCJ6731B1Z3", "33AABCJ6731B1Z3"), ("GST NO: 33{K}{N}A", "33{K}{N}A"),
+    ("PAN NO: QWXYZ4821K", "QWXYZ4821K"), ("GSTIN: 33QWXYZ4821K1Z3", "33QWXYZ4821K1Z3"), ("GST NO: 33{K}{N}A", "33{K}{N}A"),
     ("GST NO: ABCDE1234567890 {K}", ""),
 ])
 cases("f33_repair_weight", T.repair_weight, [("12,341", "12.340"), ("x 8.755", "8.755"), ("{N}", "{N}"), (".551 MT", ".550"), ("none", None)])
@@ -277,14 +278,14 @@ def _pages(spark, folder):
         F.concat(F.lit("Dispatch To "), c("destination"), F.lit(" Incoterms")),
         F.concat(F.when(k % 5 == 0, "V6hicle No ").otherwise("Vehicle No : "), c("vehicle")),
         F.concat(F.when(k % 2 == 0, "E-Way No/Validity : ").otherwise("xx "), c("eway_no"), F.lit(" - "), F.translate(F.substring("expiry", 1, 10), ".", ":")),
-        F.lit("JSW CEMENT LIMITED - SALEM works"), F.lit("PAN NO: AABCJ6731B"), F.lit("GSTIN: 33AABCJ6731B1Z3"), F.lit("PSC L1PP BAG"))
+        F.lit("JSW CEMENT LIMITED - SALEM works"), F.lit("PAN NO: QWXYZ4821K"), F.lit("GSTIN: 33QWXYZ4821K1Z3"), F.lit("PSC L1PP BAG"))
     return spread(invoice_values(spark, folder), "doc_id").select("doc_id", text.alias("text"))
 
 
 @query("p17_p24_second_client_pages", f"""
 WITH {INVOICE_SQL}, {_PAGE_SQL}
-SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN substr(branch, 1, 4) || substr(branch, 6) ELSE branch END AS branch, day AS invoice_date, destination,
-  vehicle AS vehicle_no, eway_no AS eway_bill_no, substr(expiry, 1, 10) AS eway_date, 'AABCJ6731B' AS pan_no, '33AABCJ6731B1Z3' AS gst_no,
+SELECT doc_id, branch, day AS invoice_date, destination,
+  vehicle AS vehicle_no, eway_no AS eway_bill_no, substr(expiry, 1, 10) AS eway_date, 'QWXYZ4821K' AS pan_no, '33QWXYZ4821K1Z3' AS gst_no,
   'BOPP BAG' AS product_category, 'JSW CEMENT LTD-POTTANERI' AS consignor
 FROM pv
 """)
@@ -296,7 +297,7 @@ def second_client_pages(spark, folder):
 WITH {INVOICE_SQL}, {_PAGE_SQL} SELECT doc_id, branch FROM pv
 """)
 def branch(spark, folder):
-    return X.correct_branches(X.extract_fields(_pages(spark, folder), 2, 2).select("doc_id", "branch"))
+    return X.extract_fields(_pages(spark, folder), 2, 2).select("doc_id", "branch")
 
 
 @query("p17_destination_damaged_label", f"""

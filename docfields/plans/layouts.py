@@ -235,12 +235,12 @@ def delivery_address(spark, folder):
 
 
 @query("p26_recipient_code", """
-SELECT o_orderkey AS doc_id, 'Recipient Code : ' || CAST(641056 + o_orderkey AS VARCHAR) || 'A019' AS code FROM orders
+SELECT o_orderkey AS doc_id, 'Recipient Code : ' || CAST(730000 + o_orderkey AS VARCHAR) || 'B27' AS code FROM orders
 """)
 def recipient_code(spark, folder):
     k = F.col("o_orderkey")
     docs = table(spark, folder, "orders").select(k.alias("doc_id"), F.concat(
-        F.lit("Name\nRecipient  Code : "), (k + 641056).cast("string"), F.lit("A019")).alias("text"))
+        F.lit("Name\nRecipient  Code : "), (k + 730000).cast("string"), F.lit("B27")).alias("text"))
     return docs.select("doc_id", X.recipient_code(F.col("text")).alias("code"))
 
 

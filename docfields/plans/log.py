@@ -276,12 +276,13 @@ FROM truth
 """)
 def drain_intake(spark, folder):
     """Q2: the intake table as a stream, drained once through the batch extraction, read back as events."""
-    import tempfile
+    from uuid import uuid4
 
+    from docfields.session import shared_folder
     from docfields.streaming.jobs import intake_stream, start_extraction
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{shared}/drain-{spark.sparkContext.applicationId}-{id(folder)}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    # a run of its own each time: its stream starts from an empty checkpoint
+    root = f"{shared_folder(spark)}/drain-{uuid4().hex}"
     # every fourth client id has no rules, so both outcomes occur
     intake = invoices(spark, folder).select(
         "doc_id", F.when(F.col("doc_id") % 4 == 0, 9).otherwise(1).alias("client_id"), F.lit(1).alias("doc_format_id"), "text",

@@ -65,7 +65,7 @@ MAPPING = tuple((name, name) for name in (
 PAGE_MAPPING = (
     ("Branch", "branch"), ("Date", "invoice_date"), ("ConsignmentNo", "gc_number"), ("Source", "branch"),
     ("Destination", "destination"), ("Vehicle", "vehicle_no"), ("EWayBillNo", "eway_bill_no"),
-    ("Consignor", "consignor"), ("Consignee", "consignee"), ("GSTType", "gst_no"),
+    ("Consignor", "consignor"), ("Consignee", "consignee"), ("GSTType", "gst_type"),
     ("Delivery Address", "delivery_address"), ("Invoice No", "invoice_number"),
     ("ContentName", "product_category"), ("ActualWeight", "actual_weight"), ("E-WayBill ValidUpto", "eway_date"),
     ("Invoice Date", "invoice_date"), ("E-Way Bill Date", "invoice_date"), ("E-Way Bill NO", "eway_bill_no"),
