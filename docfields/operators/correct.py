@@ -167,17 +167,35 @@ def list_rules(rules: DataFrame, field: str | None = None, rule_id: int | None =
 
 
 def correct_places(addresses: DataFrame, learned: DataFrame, keys=("doc_id",), text: str = "address") -> DataFrame:
-    """J12 as a join: words of the lower-cased address are looked up in the learned table.
+    """The lower-cased addresses with every learned place, of one or more words, put right.
 
-    Works for any number of learned words: the address splits into words and separators, words meet the table in
-    an equi join, and pieces are put back in order per address.
+    Runs of words, up to as many as the longest learned place has, are looked up in the learned table by an equi join;
+    separators do not travel. Where places overlap, the one stored first wins, then the one further left. What a
+    correction writes is not looked up again. Of a place learned twice the latest correction counts, at its first place
+    in the order. ``keys`` must name one address each.
     """
-    pieces = addresses.select(*keys, F.posexplode(F.expr(
-        f"regexp_extract_all(lower(`{text}`), '(?U)\\\\w+|[^\\\\w]+', 0)")).alias("pos", "piece"))
-    words = learned.groupBy(F.lower("wrong").alias("piece")).agg(F.lower(F.max_by("correct", "ord")).alias("right"))
-    fixed = pieces.join(words, "piece", "left").withColumn("piece", F.coalesce("right", "piece"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "piece")))
-    return fixed.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda s: s["piece"]), "").alias(text))
+    places = learned.filter(F.coalesce(F.trim("wrong"), F.lit("")) != "").groupBy(F.lower(F.trim("wrong")).alias("_run")).agg(
+        F.lower(F.max_by("correct", "ord")).alias("_right"), F.min("ord").alias("_ord"))
+    most = places.agg(F.max(F.size(F.regexp_extract_all("_run", F.lit(r"(?U)\w+"), F.lit(0))))).first()[0] or 0
+    cut = addresses.select(*keys, F.expr(f"regexp_extract_all(lower(`{text}`), '(?U)\\\\w+|[^\\\\w]+', 0)").alias("_pieces"))
+    is_word = F.transform("_pieces", lambda x: x.rlike(r"(?U)^\w"))
+    runs = cut.withColumn("_word", is_word).select(*keys, "_pieces", F.posexplode("_word").alias("_at", "_starts")).filter("_starts")
+    found = None
+    for n in range(1, most + 1):
+        # n words and the n - 1 separators between them
+        some = runs.filter(F.col("_at") + 2 * n - 1 <= F.size("_pieces")).select(
+            *keys, "_at", F.lit(2 * n - 1).alias("_size"), F.array_join(F.slice("_pieces", F.col("_at") + 1, F.lit(2 * n - 1)), "").alias("_run"))
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return cut.select(*keys, F.array_join("_pieces", "").alias(text))
+    spans = found.join(places, "_run").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_ord", "_at", "_size", "_right"))).alias("_spans"))
+    free = F.aggregate("_spans", F.slice("_spans", F.lit(1), F.lit(0)), lambda kept, s: F.when(
+        F.exists(kept, lambda k: (k["_at"] < s["_at"] + s["_size"]) & (s["_at"] < k["_at"] + k["_size"])), kept).otherwise(F.concat(kept, F.array(s))))
+    written = F.transform("_pieces", lambda piece, i: F.coalesce(
+        F.get(F.transform(F.filter("_kept", lambda k: (k["_at"] <= i) & (i < k["_at"] + k["_size"])),
+                          lambda k: F.when(k["_at"] == i, k["_right"]).otherwise(F.lit(""))), 0), piece))
+    return (cut.join(spans, list(keys), "left").withColumn("_kept", F.when(F.col("_spans").isNotNull(), free))
+            .select(*keys, F.array_join(F.when(F.col("_kept").isNull(), F.col("_pieces")).otherwise(written), "").alias(text)))
 
 
 def learn_place(learned: DataFrame, wrong: str, correct: str) -> DataFrame:

@@ -115,19 +115,25 @@ def transform_records(spark, folder):
     return out.withColumn("changes", text)
 
 
+# a place of one word for even customers, a place of two words for every third, and one that only overlaps it
 @query("j12_place_corrections", """
-SELECT o_orderkey AS doc_id, 'old plot ' || CAST(o_custkey AS VARCHAR) || ', ' ||
-  CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 'right' || CAST(o_custkey AS VARCHAR)
-       ELSE 'wrong' || CAST(o_custkey AS VARCHAR) END || ' nagar.' AS address
+WITH c AS (SELECT c_custkey AS k FROM customer)
+SELECT o_orderkey AS doc_id, 'old ' || CASE WHEN o_custkey IN (SELECT k FROM c WHERE k % 3 = 0) THEN 'site ' ELSE 'plot ' END || CAST(o_custkey AS VARCHAR) || ', ' ||
+  CASE WHEN o_custkey IN (SELECT k FROM c WHERE k % 2 = 0) THEN 'right' ELSE 'wrong' END || CAST(o_custkey AS VARCHAR) || ' nagar.' AS address
 FROM orders
 """)
 def place_corrections(spark, folder):
     key = F.col("o_custkey").cast("string")
     addresses = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(
         F.lit("Old Plot "), key, F.lit(", Wrong"), key, F.lit(" Nagar.")).alias("address"))
-    c = F.col("c_custkey").cast("string")
-    learned = table(spark, folder, "customer").filter("c_custkey % 2 = 0").select(
-        F.concat(F.lit("wrong"), c).alias("wrong"), F.concat(F.lit("Right"), c).alias("correct"), F.col("c_custkey").alias("ord"))
+    customers, k, c = table(spark, folder, "customer"), F.col("c_custkey"), F.col("c_custkey").cast("string")
+
+    def places(some, wrong, right, order):
+        return customers.filter(some).select(wrong.alias("wrong"), right.alias("correct"), order.alias("ord"))
+
+    learned = (places(k % 2 == 0, F.concat(F.lit("wrong"), c), F.concat(F.lit("Right"), c), k)
+               .unionByName(places(k % 3 == 0, F.concat(F.lit("plot "), c), F.concat(F.lit("Site "), c), k))
+               .unionByName(places(k % 3 == 0, F.concat(F.lit("old plot "), c), F.lit("never"), k + 1_000_000_000)))
     return C.correct_places(addresses, learned)
 
 
