@@ -29,14 +29,24 @@ def effective_rules(rules: DataFrame) -> DataFrame:
 
 def apply_exact_rules(values: DataFrame, rules: DataFrame, field: str = "field", value: str = "value") -> DataFrame:
     """Adds ``new_value`` and ``changed``; blank values stay as they are."""
-    r = effective_rules(rules).select(F.col("field").alias(field), F.col("from_value").alias(value), "to_value")
-    joined = values.join(r, [field, value], "left")
-    hit = (F.coalesce(F.col(value), F.lit("")) != "") & F.col("to_value").isNotNull()
+    r = effective_rules(rules).select(F.col("field").alias("_field"), F.col("from_value").alias("_from"), "to_value")
+    keyed = _keyed(values, value)
+    joined = keyed.join(r, (keyed[field] == r["_field"]) & (keyed["_key"] == r["_from"]), "left")
+    hit = F.col("to_value").isNotNull()
     return joined.select(
         *[c for c in values.columns], F.when(hit, F.col("to_value")).otherwise(F.col(value)).alias("new_value"),
         hit.alias("changed"))
 
 
+def _keyed(rows: DataFrame, value: str) -> DataFrame:
+    """``_key``: the value, or for a blank one, which no rule may match, a key that no rule has, dealt by the whole row.
+
+    Blank values are many and would all meet in one task of a shuffled join.
+    """
+    salt = F.concat(F.lit("\x00blank"), F.pmod(F.xxhash64(*rows.columns), F.lit(997)).cast("string"))
+    return rows.withColumn("_key", F.when(F.coalesce(F.col(value), F.lit("")) != "", F.col(value)).otherwise(salt))
+
+
 def resolve_values(values: DataFrame, rules: DataFrame, threshold: float = VALUE_THRESHOLD,
                    fuzzy_fields=FUZZY_FIELDS, field: str = "field", value: str = "value") -> DataFrame:
     """J1 then J2 on the distinct (field, value) pairs: only changed pairs are returned, with their score."""
@@ -60,8 +70,10 @@ def resolve_values(values: DataFrame, rules: DataFrame, threshold: float = VALUE
 def apply_fuzzy_rules(values: DataFrame, rules: DataFrame, threshold: float = VALUE_THRESHOLD,
                       fuzzy_fields=FUZZY_FIELDS, field: str = "field", value: str = "value") -> DataFrame:
     """J1 + J2: every row back with ``new_value``, ``changed`` and the score of the rule used."""
-    resolved = resolve_values(values, rules, threshold, fuzzy_fields, field, value)
-    joined = values.join(resolved, [field, value], "left")
+    resolved = resolve_values(values, rules, threshold, fuzzy_fields, field, value).select(
+        F.col(field).alias("_field"), F.col(value).alias("_from"), "to_value", "score")
+    keyed = _keyed(values, value)
+    joined = keyed.join(resolved, (keyed[field] == resolved["_field"]) & (keyed["_key"] == resolved["_from"]), "left")
     return joined.select(
         *values.columns, F.coalesce("to_value", value).alias("new_value"),
         F.col("to_value").isNotNull().alias("changed"), "score")
@@ -107,8 +119,9 @@ def transform_records(records: DataFrame, rules: DataFrame, fields=TRANSFORMED_F
     resolved = cut_lineage(found)
     out = records
     for i, f in enumerate(present):
-        side = resolved.filter(F.col("field") == f).select(F.col("value").alias(f), F.col("to_value").alias(f"_new{i}"))
-        out = out.join(side, f, "left")
+        side = resolved.filter(F.col("field") == f).select(F.col("value").alias("_from"), F.col("to_value").alias(f"_new{i}"))
+        keyed = _keyed(out, f)
+        out = keyed.join(side, keyed["_key"] == side["_from"], "left").drop("_key", "_from")
     changes = F.array_compact(F.array(*[
         F.when(F.col(f"_new{i}").isNotNull(), F.struct(
             F.lit(f).alias("field"), F.col(f).alias("from"), F.col(f"_new{i}").alias("to")))

@@ -705,7 +705,3 @@ def ordered_distinct(cands: DataFrame, keys=("doc_id",), value: str = "value", p
 def blank_fields(df: DataFrame, as_empty: bool) -> DataFrame:
     """NULL everywhere by default; the second client's shape wants ''."""
     return df.na.fill("") if as_empty else df
-
-
-def label_value(text: Column, pattern: str) -> Column:
-    return blank_to_null(F.trim(hit(text, pattern)))

@@ -308,7 +308,3 @@ fv AS (
       WHEN 3 THEN 'UNKNOWN ' || CAST(l_partkey % 50 AS VARCHAR) END AS value
   FROM lineitem)
 """
-
-
-def lines_column(text: Column) -> Column:
-    return lines_of(text)

@@ -230,13 +230,13 @@ def rank_candidates(spark, folder):
 
 
 @query("u1_union_candidates", """
-WITH u AS (SELECT c_nationkey AS doc_id, 0 AS source_no, c_custkey AS pos, c_mktsegment AS value FROM customer WHERE c_custkey % 3 = 0
+WITH u AS (SELECT c_nationkey AS doc_id, 0 AS source_no, c_custkey AS pos, c_mktsegment AS value FROM customer
   UNION ALL SELECT s_nationkey, 1, s_suppkey, s_name FROM supplier),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY source_no, pos) AS rn FROM u)
 SELECT doc_id, value FROM r WHERE rn = 1
 """)
 def union_candidates(spark, folder):
-    a = table(spark, folder, "customer").filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("value"))
+    a = table(spark, folder, "customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("value"))
     b = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("value"))
     stacked = X.union_candidates(a, b).select("doc_id", F.col("source_no").alias("rule_no"), F.lit(0).alias("line_no"), "pos", "value")
     return X.rank_candidates(stacked, ("doc_id",))
