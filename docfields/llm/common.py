@@ -36,6 +36,14 @@ def kept(df: DataFrame, *partitions: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold at most ``rows`` rows in this session: with whole texts as rows, the default of 10,000 takes
+    hundreds of megabytes in the executor and again in its Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def bucket_of_text(column: Column, buckets: int) -> Column:
     """crc32 of the value as text, modulo buckets; NULL counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % buckets

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import kept
+from docfields.llm.common import in_small_batches, kept
 
 ITEMS_PER_GROUP = 50_000
 FAN_IN = 8
@@ -21,18 +21,40 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+class _Places(dict):
+    """word -> place in order of appearance; new words wait in ``pending`` to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.pending: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.pending.append(word)
+        return place
+
+
 class WordEncoder:
     """Ids of whole texts, word by word: the tokenizer drops white space and never joins across it, so a word's ids do not
-    depend on its neighbours. Ids of words seen before are remembered, up to ``most`` words."""
+    depend on its neighbours. Ids of words seen before are remembered, up to about ``most`` words (200 bytes each)."""
+
+    _made: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self._forget()
 
+    @classmethod
+    def shared(cls, path: str) -> WordEncoder:
+        """The one of this process: a worker's next task goes on with the words of its last."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
     def _forget(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = _Places()
         self.flat = np.empty(0, np.uint32)
         self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -48,8 +70,6 @@ class WordEncoder:
             counts.append(np.bincount(owner, minlength=len(some)))
             new.append(np.array(line.ids, np.uint32))
         counts, new = np.concatenate(counts), np.concatenate(new)
-        for word in words:
-            self.places[word] = len(self.places)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.flat = np.concatenate([self.flat, new])
@@ -59,22 +79,23 @@ class WordEncoder:
         split = [t.split() if not _CONTROL.search(t) else [w for w in _WHITE.split(t) if w] for t in texts]
         if len(self.places) > self.most:
             self._forget()
-        if missing := list(dict.fromkeys(w for words in split for w in words if w not in self.places)):
-            self._learn(missing)
+        places = [np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)) for words in split]
+        if self.places.pending:
+            self._learn(self.places.pending)
+            self.places.pending = []
         out = []
-        for words in split:
-            at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        for at in places:
             counts = self.counts[at]
             ends = np.cumsum(counts)
             out.append(self.flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(self.starts[at], counts)])
         return out
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, rows_at_once: int = 256) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, rows_at_once: int = 1000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each row's ids and the end id, cut only where longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = WordEncoder.shared(tokenizer)
         for batch in batches:
             for at in range(0, len(batch), rows_at_once):
                 part = batch.slice(at, rows_at_once)
@@ -154,6 +175,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     end id only; repeated rows are packed as often as they come, and null ids keep their rows; an empty table gives an empty
     table. Full pieces are sequences of their own. Memory: one text and a group of ITEMS_PER_GROUP pieces.
     """
+    in_small_batches(docs.sparkSession)
     pieces = kept(token_pieces(docs, tokenizer, capacity, end_id).withColumn("id", F.monotonically_increasing_id()))
     placed = pack(pieces.filter(F.col("length") < capacity).select("id", "length"), capacity)
     bins = placed.select(F.col("id").alias("of"), "bin", "offset")
