@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm.common import kept, shared_folder
+from docfields.llm.common import in_small_batches, kept, shared_folder
 from docfields.operators.ordered import running_total
 
 BLOCK_TOKENS = 1 << 20
@@ -129,6 +129,7 @@ def document_token_counts(docs: DataFrame, encode, end_id: int, dtype: str = "<u
     """doc_id, file, ordinal, start, n_tokens of every row of (doc_id, text): texts are encoded into flat token files in the
     shared folder, and the counts come from scanning those. Null texts have no tokens; repeated rows and null ids stay."""
     spark = docs.sparkSession
+    in_small_batches(spark)
     folder = shared_folder(spark)
     order = write_token_files(docs, encode, folder, end_id, dtype)
     listed = order.select("file").distinct()
