@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import bucket_of_text
+from docfields.llm.common import bucket_of_text, in_small_batches
 
 
 class DictionaryPair:
@@ -28,8 +28,13 @@ class DictionaryPair:
     def _compressors(self):
         if self._ready is None:
             plain = dict(write_content_size=False, write_checksum=False, write_dict_id=False)
-            self._ready = [zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d), **plain) if d else zstandard.ZstdCompressor(level=self.level, **plain)
-                           for d in (self.good, self.bad)]
+            self._ready = []
+            for data in (self.good, self.bad):
+                known = {}
+                if data:
+                    known["dict_data"] = zstandard.ZstdCompressionDict(data)
+                    known["dict_data"].precompute_compress(level=self.level)
+                self._ready.append(zstandard.ZstdCompressor(level=self.level, **known, **plain))
         return self._ready
 
     def difference(self, text: bytes) -> float:
@@ -134,6 +139,7 @@ def scored(docs: DataFrame, pair: DictionaryPair, curve: tuple[float, float], te
 
 def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, most_documents: int = 4000, **fitting):
     """Fit on labels of rows whose crc32(doc_id as text) mod ``folds`` is not 0; only a bounded sample of ids is joined to texts."""
+    in_small_batches(docs.sparkSession)
     known = (labels.filter(F.col("doc_id").isNotNull() & (bucket_of_text(F.col("doc_id"), folds) != 0))
              .groupBy("doc_id").agg(F.min(label).alias("label")).filter("label IN (0, 1)").withColumn("h", F.xxhash64("doc_id")))
     ids = known.filter("label = 1").orderBy("h").limit(most_documents).unionByName(known.filter("label = 0").orderBy("h").limit(most_documents))
