@@ -293,3 +293,61 @@ def drain_intake(spark, folder):
     names = {"vehicle": "Vehicle", "consignment_no": "ConsignmentNo", "consignee": "Consignee", "rate": "Get Rate"}
     return spark.read.parquet(f"{root}/out").select("doc_id", "data_extraction_status", "error", *[
         F.get_json_object("extracted_json", f"$['{key}']").alias(name) for name, key in names.items()])
+
+
+_POLL_SQL = f"""
+WITH {INVOICE_SQL}
+SELECT doc_id, 'Completed' AS data_extraction_status, vehicle FROM truth
+"""
+
+
+@query("q1_poll_intake", _POLL_SQL)
+def poll_intake(spark, folder):
+    """Q1: the polling form, stopped once everything that is there has been taken up."""
+    from uuid import uuid4
+
+    from docfields.session import shared_folder
+    from docfields.streaming.jobs import intake_stream, start_extraction
+
+    root = f"{shared_folder(spark)}/poll-{uuid4().hex}"
+    intake = invoices(spark, folder).select(
+        "doc_id", F.lit(1).alias("client_id"), F.lit(1).alias("doc_format_id"), "text", F.lit("Not Started").alias("data_extraction_status"))
+    intake.write.parquet(f"{root}/in")
+    running = start_extraction(intake_stream(spark, f"{root}/in", intake.schema), f"{root}/out", f"{root}/check", poll="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.parquet(f"{root}/out").select("doc_id", "data_extraction_status", F.get_json_object("extracted_json", "$['Vehicle']").alias("vehicle"))
+
+
+@query("q7_stream_retry", f"""
+WITH {INVOICE_SQL}
+SELECT doc_id, CASE WHEN doc_id % 8 = 4 THEN 'Failed' ELSE 'Completed' END AS status, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS attempt,
+  CAST(CASE WHEN doc_id % 4 = 0 THEN 4 ELSE 2 END AS BIGINT) AS events
+FROM truth
+""")
+def stream_retry(spark, folder):
+    """Q3 and Q7 in the stream: failed documents enter again with the next attempt; for half of them the cause is gone by then."""
+    from uuid import uuid4
+
+    from docfields.session import shared_folder
+    from docfields.streaming.jobs import intake_stream, retry_intake, start_extraction
+
+    root = f"{shared_folder(spark)}/retry-{uuid4().hex}"
+    k = F.col("doc_id")
+    docs = invoices(spark, folder).select(
+        "doc_id", F.when(k % 4 == 0, 9).otherwise(1).alias("client_id"), F.lit(1).alias("doc_format_id"), "text",
+        F.lit("Not Started").alias("data_extraction_status"), F.lit(1).alias("attempt"))
+
+    def drain():
+        stream = intake_stream(spark, f"{root}/in", docs.schema)
+        start_extraction(stream, f"{root}/out", f"{root}/check", drain=True, log=f"{root}/log").awaitTermination()
+        return spark.read.parquet(f"{root}/log")
+
+    docs.write.parquet(f"{root}/in")
+    again = retry_intake(drain(), docs).withColumn("client_id", F.when(k % 8 == 0, 1).otherwise(F.col("client_id")))
+    again.select(docs.columns).write.mode("append").parquet(f"{root}/in")
+    events = drain()
+    counted = events.groupBy("doc_id").agg(F.count("*").alias("events"))
+    return S.current_status(events).join(counted, "doc_id").select("doc_id", "status", "attempt", "events")
