@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -12,6 +11,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfields.session import shared_folder as shared_root
+
 #: A word is a longest run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,12 +22,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests on one machine), under /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/docfields-{uuid4().hex}"
+    """A new folder under the one that all executors share."""
+    return f"{shared_root(spark).rstrip('/')}/docfields-{uuid4().hex}"
 
 
 def kept(df: DataFrame, *partitions: str) -> DataFrame:
