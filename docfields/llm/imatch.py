@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import Hashes, ascii_words, from_planes, key_ranges, mixed, packed_keys, planes, unpacked_keys
+from docfields.llm.common import Hashes, ascii_words, from_planes, in_small_batches, key_ranges, mixed, packed_keys, planes, unpacked_keys
 
 ENTRIES_PER_CHUNK = 2_000_000
 CHARS_PER_BUCKET = 16_000_000
@@ -145,6 +145,7 @@ def fingerprint_documents(docs: DataFrame, rarest: float = 1 / 1000, commonest:
 
     Texts are shuffled once, by ranges of doc_id; a task walks its sorted rows and holds two texts.
     """
+    in_small_batches(docs.sparkSession)
     documents, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()
     sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs, documents, chars, rarest, commonest))
 

@@ -23,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import Hashes, ascii_words, kept, mixed
+from docfields.llm.common import Hashes, ascii_words, in_small_batches, kept, mixed
 from docfields.llm.components import components
 
-ROWS_PER_FLUSH = 1_000_000
+ROWS_PER_FLUSH = 500_000
 ENTRIES_PER_BUCKET = 1_500_000
 TOKENS_PER_BLOCK = 1_000_000
 #: Of the cost model: tokens of a passage that unrelated documents share, and how many of a million pairs share one.
@@ -112,8 +112,9 @@ def _binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.large_binary() if sum(map(len, values)) > 2**30 else pa.binary())
 
 
-def _texts(batch: pa.RecordBatch) -> tuple[list, list]:
-    return batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    """One text at a time: only the batch itself is in memory."""
+    return (t.as_py() for t in batch.column(1).cast(pa.binary()))
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -122,10 +123,9 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            ids, texts = _texts(batch)
-            sets = [shingles(t, n, hashes) for t in texts]
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                                   "set_key": pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())})
+            found = [(len(s), set_key(s) if len(s) else None) for s in (shingles(t, n, hashes) for t in _texts(batch))]
+            yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": pa.array([f[0] for f in found], pa.int64()),
+                                   "set_key": pa.array([f[1] for f in found], pa.int64())})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key long")
 
@@ -146,7 +146,7 @@ def _entries(docs: DataFrame, n: int, plan: dict[int, tuple[int, int, int]], edg
                                     "keys": _binary([p[2].tobytes() for p in parts])})
 
         for batch in batches:
-            for text in _texts(batch)[1]:
+            for text in _texts(batch):
                 tokens = shingles(text, n, hashes)
                 if not len(tokens) or (key := set_key(tokens)) in seen:
                     continue
@@ -292,9 +292,8 @@ def _check_tiles(docs: DataFrame, members: DataFrame, loose: DataFrame, n: int,
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            sets_ = [shingles(t, n, hashes) for t in texts]
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, len(b), 1000)):
+            sets_ = [shingles(t, n, hashes) for t in _texts(batch)]
             # a repeated id may carry another text: only the set that was asked for counts
             right = [i for i, (s, k) in enumerate(zip(sets_, batch.column(0).to_pylist())) if len(s) and set_key(s) == k]
             rest = batch.take(pa.array(right, pa.int64()))
@@ -331,6 +330,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
     Copies never meet as rows: every step works on distinct sets, and groups of copies only at the end by an aggregation.
     """
+    in_small_batches(docs.sparkSession)
     members = kept(document_sets(docs, n))
     sets = members.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.first("n_shingles").alias("n"))
     most, total = sets.agg(F.max("n"), F.sum("n")).first()
