@@ -26,14 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import ascii_words, from_planes, key_ranges, kept, mixed, packed_keys, planes, unpacked_keys
+from docfields.llm.common import ascii_words, from_planes, in_small_batches, key_ranges, kept, mixed, packed_keys, planes, unpacked_keys
 
-TOKENS_PER_CHUNK = 2_000_000
+TOKENS_PER_CHUNK = 1_000_000
 DOCUMENTS_PER_ROW = 1000
 CHARS_PER_BUCKET = 8_000_000
 #: (mu, kappa) to choose from
 GRID = tuple((mu, kappa) for mu in (0.1, 0.4, 0.7, 0.95) for kappa in (2.0, 50.0))
 END, START = 0, 1
+#: Bigrams are told apart by 56 bits of their hash; the cleared byte costs nothing in a packed key.
+_PAIR = ~np.uint64(0xFF)
 #: No word holds white space, so these never meet a word's hash on purpose.
 _MARKS = [xxhash.xxh64_intdigest(m) for m in (b" end", b" start")]
 
@@ -64,6 +66,10 @@ def bigrams(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return histories, words, starts
 
 
+def pair_keys(hashes: np.ndarray, histories: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mixed(hashes[histories], hashes[words]) & _PAIR
+
+
 SCHEMA = "kind int, chunk long, bucket int, ids array<long>, data binary, counts binary"
 _FIELDS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("data", pa.binary()), ("counts", pa.binary())])
 DOC, WORDS, UNIGRAMS, BIGRAMS = 0, -1, 1, 2
@@ -85,7 +91,7 @@ def _chunks(docs: DataFrame, fold: int, held: int, bits: int) -> DataFrame:
         counts = np.bincount(inverse[words[training]], minlength=len(keys))
         counts[inverse[START]] += int((~out).sum())
         rows = [(WORDS, chunk, 0, None, hashes.tobytes(), None), *ranges(UNIGRAMS, chunk, keys, counts)]
-        keys, inverse = np.unique(mixed(hashes[histories], hashes[words]), return_inverse=True)
+        keys, inverse = np.unique(pair_keys(hashes, histories, words), return_inverse=True)
         rows += ranges(BIGRAMS, chunk, keys, np.bincount(inverse[training], minlength=len(keys)))
         for row, at in enumerate(range(0, len(ids), DOCUMENTS_PER_ROW)):
             some = codes[at : at + DOCUMENTS_PER_ROW]
@@ -163,7 +169,7 @@ def _scores(n: int, v: int, once: int, fold: int, held: int):
                   for k in (UNIGRAMS, BIGRAMS)}
         counts = totals[UNIGRAMS][np.unique(hashes, return_inverse=True)[1]]
         histories, words, starts = bigrams(codes)
-        _, first, arcs = np.unique(mixed(hashes[histories], hashes[words]), return_index=True, return_inverse=True)
+        _, first, arcs = np.unique(pair_keys(hashes, histories, words), return_index=True, return_inverse=True)
         automaton = Automaton(counts, histories[first], words[first], totals[BIGRAMS], n, once)
         out = held_out(ids, fold, held)
         seen = np.bincount(arcs[np.repeat(~out, sizes)], minlength=len(first))
@@ -190,12 +196,13 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     Tokens are the words, A-Z lower-cased, and one end. Documents whose crc32(doc_id as text) mod ``fold`` is ``held`` are
     scored but not learned from. ``base_score`` is the add-half unigram log10 probability, ``score`` the automaton's. A null
     text is empty and has the end only; a null doc_id counts as the empty text; repeated rows count as often as they come.
-    An empty table gives an empty table; with no training text every token is unknown. Words and pairs are told apart by
-    64-bit hashes.
+    An empty table gives an empty table; with no training text every token is unknown. Words are told apart by 64-bit hashes, pairs by
+    56-bit ones.
 
     Memory: a chunk has TOKENS_PER_CHUNK tokens (or one longer document), a key range about CHARS_PER_BUCKET characters' worth
     of n-grams, whatever the size of the corpus. Only six sums and one number per grid point come to the driver.
     """
+    in_small_batches(docs.sparkSession)
     chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
     bits = max(2, math.ceil(math.log2(max(1, chars / CHARS_PER_BUCKET))))
     chunks = kept(_chunks(docs, fold, held, bits))
