@@ -311,8 +311,8 @@ def _check_tiles(docs: DataFrame, members: DataFrame, loose: DataFrame, n: int,
     def check(tile: pa.Table) -> pa.Table:
         keys, at = np.unique(tile["set_key"].to_numpy(), return_index=True)
         sets_ = tile["tokens"].to_pylist()
-        side = tile["side"].to_numpy(zero_copy_only=False) if hasattr(tile["side"], "to_numpy") else np.array(tile["side"].to_pylist())
-        found = similar_within(keys, [np.frombuffer(sets_[i], np.uint64) for i in at], np.asarray(side)[at], percent) if len(keys) > 1 else []
+        side = np.array(tile["side"].to_pylist(), bool)
+        found = similar_within(keys, [np.frombuffer(sets_[i], np.uint64) for i in at], side[at], percent) if len(keys) > 1 else []
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
