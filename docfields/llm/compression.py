@@ -51,25 +51,32 @@ class DictionaryPair:
         return (b - g) / (b + g) if g else 0.0
 
 
-def calibration(values: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+def calibration(values: np.ndarray, labels: np.ndarray, rounds: int = 100, totals: tuple[float, float] | None = None) -> tuple[float, float]:
     """(slope, intercept) of the logistic curve from difference to probability; labels are drawn in a little, as Platt
-    proposed, so that separable classes keep finite values. With one class the slope is 0."""
+    proposed, so that separable classes keep finite values. With one class the slope is 0.
+
+    ``totals`` are the numbers of rows with label 0 and 1 that the given rows were drawn from: each class weighs as much as
+    all its rows do, so the probabilities keep their rate and not the sample's.
+    """
     good, bad = int((labels == 1).sum()), int((labels == 0).sum())
+    all_bad, all_good = totals or (bad, good)
     if not good or not bad:
-        return 0.0, math.log((good + 1) / (bad + 1))
+        return 0.0, math.log((all_good + 1) / (all_bad + 1))
+    weight = np.where(labels == 1, all_good / good, all_bad / bad)
+    weight *= len(weight) / weight.sum()
     goal = np.where(labels == 1, (good + 1) / (good + 2), 1 / (bad + 2))
     scale = values.std() or 1.0
     x = np.stack([values / scale, np.ones_like(values)])
-    w = np.array([0.0, math.log((good + 1) / (bad + 1))])
+    w = np.array([0.0, math.log((all_good + 1) / (all_bad + 1))])
 
     def loss(w: np.ndarray) -> float:
         z = w @ x
-        return float((np.logaddexp(0, z) - goal * z).sum()) + 0.5e-6 * float(w @ w)
+        return float((weight * (np.logaddexp(0, z) - goal * z)).sum()) + 0.5e-6 * float(w @ w)
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(w @ x)))
-        slope = x @ (p - goal) + 1e-6 * w
-        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-6 * np.eye(2), slope)
+        slope = x @ (weight * (p - goal)) + 1e-6 * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + 1e-6 * np.eye(2), slope)
         size = 1.0
         while loss(w - size * step) > loss(w) and size > 1e-6:
             size /= 2
@@ -83,12 +90,15 @@ def _text_bytes(batch: pa.RecordBatch, at: int) -> pa.Array:
     return batch.column(at).cast(pa.binary())
 
 
-def fit(labelled: DataFrame, most_documents: int = 4000, most_pieces: int = 6000, window: int = 2048, dictionary_bytes: int = 65_536, level: int = 3):
+def fit(labelled: DataFrame, most_documents: int = 4000, most_pieces: int = 6000, window: int = 2048, dictionary_bytes: int = 65_536, level: int = 3,
+        stands_for: tuple[float, float] = (1.0, 1.0)):
     """A DictionaryPair and its calibration from (doc_id, text, label) with labels 0 and 1.
 
     The fit reads a bounded sample: of each class the ``most_documents`` that come first by a hash of doc_id. Half of them give
-    the dictionaries (of each class the first ``most_pieces`` windows by hash), the other half the calibration. Labels
-    other than 0 and 1 and null texts are left out. With too little text of a class there is no dictionary for it.
+    the dictionaries (of each class the first ``most_pieces`` windows by hash), the other half the calibration,
+    in which each class weighs as many rows as it has in ``labelled``, times the rows that each one stands for (``stands_for``, of
+    labels 0 and 1). Labels other than 0 and 1 and null texts are left out. With too little text of a class there is no
+    dictionary for it.
     """
     h = F.xxhash64("doc_id", "text")
     usable = labelled.filter("label IN (0, 1) AND text IS NOT NULL").select("doc_id", "text", F.col("label").cast("int").alias("label"), h.alias("h"))
@@ -109,7 +119,9 @@ def fit(labelled: DataFrame, most_documents: int = 4000, most_pieces: int = 6000
     pair = DictionaryPair(dictionary(1), dictionary(0), window, level)
     apart = differences(sample.filter(F.pmod("h", F.lit(2)) == 1).select("label", "text"), pair).toPandas()
     sample.unpersist()
-    return pair, calibration(apart["difference"].to_numpy(np.float64), apart["label"].to_numpy(np.int64))
+    rows = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    totals = (rows.get(0, 0) * stands_for[0], rows.get(1, 0) * stands_for[1])
+    return pair, calibration(apart["difference"].to_numpy(np.float64), apart["label"].to_numpy(np.int64), totals=totals)
 
 
 def differences(rows: DataFrame, pair: DictionaryPair) -> DataFrame:
@@ -138,14 +150,17 @@ def scored(docs: DataFrame, pair: DictionaryPair, curve: tuple[float, float], te
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, most_documents: int = 4000, **fitting):
-    """Fit on labels of rows whose crc32(doc_id as text) mod ``folds`` is not 0; only a bounded sample of ids is joined to texts."""
+    """Fit on labels of rows whose crc32(doc_id as text) mod ``folds`` is not 0; only a bounded sample of ids is joined to texts,
+    and each of them stands for as many ids as its class has to one drawn."""
     in_small_batches(docs.sparkSession)
     known = (labels.filter(F.col("doc_id").isNotNull() & (bucket_of_text(F.col("doc_id"), folds) != 0))
              .groupBy("doc_id").agg(F.min(label).alias("label")).filter("label IN (0, 1)").withColumn("h", F.xxhash64("doc_id")))
     ids = known.filter("label = 1").orderBy("h").limit(most_documents).unionByName(known.filter("label = 0").orderBy("h").limit(most_documents))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    stands_for = tuple(max(1.0, counts.get(c, 0) / most_documents) for c in (0, 1))
     chosen = ids.select(F.col("doc_id").alias("of"), "label")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("doc_id", "text", "label")
-    return fit(texts, most_documents=most_documents, **fitting)
+    return fit(texts, most_documents=most_documents, stands_for=stands_for, **fitting)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, least: float = 0.3, **fitting) -> DataFrame:

@@ -191,6 +191,33 @@ def test_calibration_keeps_the_rate():
     assert slope > 0 and abs((1 / (1 + np.exp(-(slope * x + intercept)))).mean() - 0.75) < 0.01
 
 
+def test_sampled_calibration_keeps_the_rate_of_all():
+    rng = np.random.default_rng(4)
+    x, y = np.r_[rng.normal(-1, 1, 2000), rng.normal(1, 1, 12_000)], np.r_[np.zeros(2000, int), np.ones(12_000, int)]
+    some = np.r_[0:1000, 2000:3000]
+    want, got = calibration(x, y), calibration(x[some], y[some], totals=(2000, 12_000))
+    assert got == pytest.approx(want, abs=0.15)
+    assert (1 / (1 + np.exp(-(got[0] * x + got[1])))).mean() == pytest.approx(6 / 7, abs=0.01)
+    assert calibration(x[:5], y[:5], totals=(2, 5)) == (0.0, math.log(2))
+
+
+def test_quality_does_not_depend_on_the_cap(spark):
+    """Bad documents are like the good ones in all but some: the class rate decides where the curve lies."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(1400):
+        good = rng.random() < 6 / 7
+        shout = rng.random() < (0.3 if good else 0.7)
+        text = " ".join(rng.choice(["the", "river", "was", "calm", "and", "people", "walked", "slowly", "home.", "It"]) + rng.choice(["", "s", "ly"]) for _ in range(60))
+        rows.append((i, "!! ".join(text.upper().split()) if shout else text, "en", "a", len(text), 1, 1))
+        labels.append((i, int(good), 0))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rate = labels.agg(F.avg("quality")).first()[0]
+    for most in (4000, 100):
+        mean, kept = classify(docs, labels, most_documents=most).agg(F.avg("score"), F.avg("predicted")).first()
+        assert abs(mean - rate) < 0.06 and kept > 0.98, most
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs, labels = labelled(spark, 120)
     copies = docs.filter("doc_id < 30").withColumn("doc_id", F.col("doc_id") + 1000)
