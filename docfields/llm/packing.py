@@ -135,9 +135,11 @@ def pack(items: DataFrame, capacity: int, slack: int = 8, items_per_group: int =
     """id, bin, offset for items (id long, length long of 1..capacity): as few bins as it can, bins named by an item's id.
 
     Each group of about ``items_per_group`` items packs its own, longest first. Bins with at most ``slack`` free are done.
-    The others become items of a next round, in which ``fan_in`` groups meet, and so on until one group is left. Only the
-    underfull bins travel; where they end is resolved from the last round back to the first and joined to the items
-    once. A group's order is its content's, so a rerun of a lost task gives the same bins.
+    Of the others no two of one group fit together, so each group has at most one bin that is no more than half full. Only
+    these can still be saved: they meet in a next round with as many of the emptiest bins of more than half, and no
+    other bin could take one that none of those can. Its groups are sized by its rows, at most two for each group before, and
+    rounds go on until one group is left or nothing can be saved. Where bins end is resolved from the last round back to
+    the first and joined to the items once. A group's order is its content's, so a rerun of a lost task gives the same bins.
     """
     n = items.count()
     groups = max(1, math.ceil(n / items_per_group))
@@ -157,9 +159,14 @@ def pack(items: DataFrame, capacity: int, slack: int = 8, items_per_group: int =
         rounds.append(kept(level.groupBy("g").applyInPandas(run, "id long, bin long, offset long, used long, g long")))
         if groups == 1:
             break
-        groups = math.ceil(groups / fan_in)
-        level = (rounds[-1].filter((F.col("used") < capacity - slack) & (F.col("id") == F.col("bin")))
-                 .select("id", F.col("used").alias("length"), F.floor(F.col("g") / fan_in).alias("g")))
+        underfull = rounds[-1].filter((F.col("used") < capacity - slack) & (F.col("id") == F.col("bin"))).select("id", F.col("used").alias("length"))
+        low = underfull.filter(F.col("length") * 2 <= capacity)
+        n = low.count()
+        if not n:
+            break
+        high = underfull.filter(F.col("length") * 2 > capacity).orderBy("length", "id").limit(n)
+        groups = min(math.ceil(2 * n / items_per_group), math.ceil(groups / fan_in))
+        level = low.unionByName(high).select("id", "length", F.pmod(F.xxhash64("id", F.lit(len(rounds))), F.lit(groups)).alias("g"))
     out = rounds[-1].select("id", "bin", "offset")
     for before in reversed(rounds[:-1]):
         later = out.select(F.col("id").alias("of"), F.col("bin").alias("to"), F.col("offset").alias("by"))

@@ -8,7 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docfields.llm.common import shared_folder
+from docfields.llm import packing
+from docfields.llm.common import kept, shared_folder
 from docfields.llm.packing import WordEncoder, best_fit, pack, pack_documents
 from docfields.llm.queries import tokenizer_path
 from docfields.llm.separator_scan import document_token_counts, file_sizes, token_counts
@@ -107,6 +108,26 @@ def test_rounds_of_packing(spark):
     assert placed.count() == 3000 and n <= whole * 1.05
 
 
+def test_groups_stay_small_where_nothing_pairs(spark, monkeypatch):
+    most = []
+
+    def written(df):
+        table = kept(df)
+        most.append(table.groupBy("g").count().agg({"count": "max"}).first()[0])
+        return table
+
+    monkeypatch.setattr(packing, "kept", written)
+    rng = random.Random(8)
+    # a few small ones among many of more than half: every small one that has a place somewhere must find it
+    lengths = [rng.randrange(51, 70) for _ in range(1980)] + [45] * 20
+    items = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+    placed = pack(items, 100, slack=0, items_per_group=100, fan_in=8).join(items, "id")
+    n = check_packed([{"sequence_id": r["bin"], **r.asDict()} for r in placed.collect()], 100)
+    assert placed.count() == 2000 and n == 1980 and max(most) < 200
+    only = items.filter("length > 50")
+    assert pack(only, 100, slack=0, items_per_group=100, fan_in=8).select("bin").distinct().count() == 1980 and max(most) < 200
+
+
 def test_packed_documents(spark):
     docs = documents(spark)
     rows = pack_documents(docs, WORD_FILE, capacity=64).collect()
