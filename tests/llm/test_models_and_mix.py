@@ -241,3 +241,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), str(tmp_path)).count() == 0, name
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Repeated ids with different texts, and copies under null ids."""
+    a, b, c, d = (words(i, 60) for i in (21, 22, 23, 24))
+    texts = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, b), (None, c), (None, c + " z"), (9, c), (None, d), (None, d), (7, ""), (7, ""), (None, None)]
+    docs = documents(spark, [(i, t, "en", "a", 1, 1, 1) for i, t in texts])
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, str(tmp_path))
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted([(1, a), (1, b), (9, c), (None, d), (7, ""), (7, ""), (None, None)], key=key)
