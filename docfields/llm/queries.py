@@ -179,3 +179,47 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     # the file name depends on the task attempt, so the digest leaves it out
     return document_token_counts(table(spark, folder, "documents"), encode, end_id=50256).select("doc_id", "n_tokens")
+
+
+@query("op11_prefix_trie", """
+WITH RECURSIVE o AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+-- crc32 bit by bit: the register starts and ends inverted, the polynomial is 0xEDB88320
+c AS (SELECT conv_id, turns, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+        lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                      lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 4 AS h FROM o),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, d AS depth, turns[1:d] AS node, len(turns) = d AS ends FROM r, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)),
+n AS (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY depth, node),
+k AS (SELECT n.*, (SELECT count(*) FROM n m WHERE m.depth = n.depth + 1 AND m.node[1:n.depth] = n.node) AS n_children,
+             CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(node[-1].text, '[^\\x20\\x09-\\x0D]+')) END AS gain FROM n),
+-- every node is booked at itself and at all its ancestors
+a AS (SELECT k.node[1:d] AS node, d AS depth, sum(gain) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+      FROM k, LATERAL (SELECT unnest(range(0, k.depth + 1)) AS d) GROUP BY ALL)
+SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, a.n_leaves::BIGINT AS n_leaves, a.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN a ON a.depth = k.depth AND a.node = k.node LEFT JOIN k u ON u.depth = k.depth - 1 AND u.node = k.node[1:k.depth - 1]
+""")
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.prefix_trie import prefix_trie, rebuilt_conversations
+
+    return prefix_trie(rebuilt_conversations(table(spark, folder, "conversations")))
+
+
+@query("op12_chunked_bpe")
+def op12_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.chunked_bpe import encode_documents
+
+    def path() -> str:
+        import public_tokenizers
+
+        return public_tokenizers.path("byte_bpe_50k.json")
+
+    return encode_documents(table(spark, folder, "documents"), path)
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"), components=4, factor=256.0)
