@@ -31,9 +31,9 @@ BITMAP_BITS = 2**26
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A text and its parts: added tokens stand alone, and no repair crosses them.
 TEXT, ADDED = 0, 1
-#: A word ends here whatever stands around: every alternative of a byte-level split keeps a letter, digit or underscore and
-#: a following space or line feed apart.
-SURE = re.compile(rb"[0-9A-Za-z_](?=[ \n])")
+#: A word ends here whatever stands around: no alternative of a byte-level split has a space or line feed after a character
+#: that is no white space. UTF-8 of ASCII and of U+00C0 to U+053F and U+4000 to U+9FFF, where no other white space lies.
+SURE = re.compile(rb"(?:[!-~]|[\xc3-\xd4][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2})(?=[ \n])")
 
 
 def load(path: str):
@@ -323,55 +323,79 @@ def encode_documents(docs: DataFrame, path: Callable[[], str], most_bits: int =
 def encoded(docs: DataFrame, path: Callable[[], str], most_bits: int = BITMAP_BITS) -> DataFrame:
     """doc_id, ids (packed, see ``_unpacked``), n_chunks, n_reused: one row per document row.
 
-    Scale: texts are read twice and never shuffled whole. The first pass counts chunk keys, the second encodes what occurs once
-    and sends on only the chunks that may occur again: their texts meet by key, which Spark combines before the shuffle, and their
-    ids return by an equi join on the key. A document's pieces then meet by document. A chunk in a third of all documents makes
-    a skewed join on its key; it has one row on the other side, and Spark splits it. Documents without a shared chunk are
-    finished in the second pass.
+    Scale: texts are read several times and never shuffled whole. The first pass counts chunk keys. The second sends on the
+    chunks that may occur again: their texts meet by key, which Spark combines before the shuffle, and their ids return by an
+    equi join on the key. Documents without such a chunk are encoded in one pass without a shuffle; of the others the ids of
+    their other runs meet the returned ids by the hash of their text, so copies ask once. A chunk or text in a third of all
+    documents makes a skewed join; it has one row on the other side, and Spark splits it.
     """
     in_small_batches(docs.sparkSession)
     get = _remembered(path)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, get, most_bits))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plans(batch: pa.RecordBatch) -> Iterator[tuple[list[tuple[int, bytes | None, str]], int]]:
+        """For every text of a batch its pieces as (kind, key of a shared chunk, text), other neighbours put together, and the
+        number of its chunks. The same text always gives the same plan."""
         codec, bitmap = get(), sent.value
+        for pieces in _chunks_of(codec, [t or "" for t in batch.column(1).to_pylist()]):
+            plan: list[tuple[int, bytes | None, str]] = []
+            open_: list[str] = []
+            for kind, chunk in pieces:
+                key = chunk_key(chunk) if kind == TEXT else None
+                if key is not None:
+                    at = int.from_bytes(key[:8], "little") % most_bits
+                    key = key if bitmap[at >> 3] >> (at & 7) & 1 else None
+                if kind == TEXT and key is None:
+                    open_.append(chunk)
+                    continue
+                if open_:
+                    plan.append((TEXT, None, "".join(open_)))
+                    open_ = []
+                plan.append((kind, key, chunk))
+            if open_:
+                plan.append((TEXT, None, "".join(open_)))
+            yield plan, len(pieces)
+
+    def own_ids(codec: Codec, kind: int, text: str) -> np.ndarray:
+        return np.array([codec.added[text]], np.uint32) if kind == ADDED else codec.encode([text])[0]
+
+    def put_together(codec: Codec, parts: list[tuple[int, np.ndarray]]) -> bytes:
+        done, open_ = [], []
+        for kind, ids in parts:
+            if kind == TEXT:
+                open_.append(ids)
+                continue
+            done += [codec.joined(open_), ids] if open_ else [ids]
+            open_ = []
+        done += [codec.joined(open_)] if open_ else []
+        return _packed(np.concatenate(done) if done else np.zeros(0, np.uint32))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batches(batches, 1):
+            out = [(t, no, key, chunk) for t, (plan, _) in zip(batch.column(2).to_pylist(), plans(batch)) for no, (_, key, chunk) in enumerate(plan) if key is not None]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int32(), pa.binary(), pa.string()))], ["text_key", "no", "key", "chunk"])
 
-        def shared(key: bytes) -> bool:
-            at = int.from_bytes(key[:8], "little") % most_bits
-            return bool(bitmap[at >> 3] >> (at & 7) & 1)
-
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = get()
         for batch in _batches(batches, 1):
-            plans, runs = [], []
-            for pieces in _chunks_of(codec, [t or "" for t in batch.column(1).to_pylist()]):
-                plan: list[tuple] = []
-                for kind, chunk in pieces:
-                    key = chunk_key(chunk) if kind == TEXT else None
-                    if key and shared(key):
-                        plan.append((TEXT, key, chunk))
-                    elif kind == TEXT and plan and plan[-1][0] == TEXT and plan[-1][1] is None:
-                        runs[plan[-1][2]] += chunk
-                    elif kind == TEXT:
-                        plan.append((TEXT, None, len(runs)))
-                        runs.append(chunk)
-                    else:
-                        plan.append((ADDED, None, chunk))
-                plans.append((plan, len(pieces)))
-            ids = codec.encode(runs)
-            out = []
-            for plan, n in plans:
-                own = [(no, kind, _packed(np.array([codec.added[x]], np.uint32) if kind == ADDED else ids[x])) for no, (kind, key, x) in enumerate(plan) if key is None]
-                out.append((n, own, [(no, key, chunk) for no, (kind, key, chunk) in enumerate(plan) if key is not None]))
-            part = pa.struct([("no", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary())])
-            ref = pa.struct([("no", pa.int32()), ("key", pa.binary()), ("chunk", pa.string())])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([o[0] for o in out], pa.int32()),
-                 pa.array([[dict(zip(("no", "kind", "ids"), p)) for p in o[1]] for o in out], pa.list_(part)),
-                 pa.array([[dict(zip(("no", "key", "chunk"), p)) for p in o[2]] for o in out], pa.list_(ref))],
-                ["doc_id", "row", "n_chunks", "own", "refs"])
+            found = [(i, put_together(codec, [(kind, own_ids(codec, kind, x)) for kind, _, x in plan]), n)
+                     for i, (plan, n) in enumerate(plans(batch)) if all(key is None for _, key, _ in plan)]
+            at, ids, n = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.binary()), pa.array(n, pa.int32()), pa.array([0] * len(n), pa.int32())],
+                                             ["doc_id", "ids", "n_chunks", "n_reused"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    planned = kept(rows.mapInArrow(run, f"doc_id {id_type}, row long, n_chunks int, own array<struct<no:int,kind:int,ids:binary>>, refs array<struct<no:int,key:binary,chunk:string>>"))
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = get()
+        part = pa.struct([("no", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary())])
+        for batch in _batches(batches, 1):
+            found = [(i, n, [{"no": no, "kind": kind, "ids": _packed(own_ids(codec, kind, x))} for no, (kind, key, x) in enumerate(plan) if key is None])
+                     for i, (plan, n) in enumerate(plans(batch)) if any(key is not None for _, key, _ in plan)]
+            at, n, own = zip(*found) if found else ((), (), ())
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(n, pa.int32()), pa.array(own, pa.list_(part))],
+                                             ["doc_id", "text_key", "n_chunks", "own"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = get()
@@ -379,29 +403,21 @@ def encoded(docs: DataFrame, path: Callable[[], str], most_bits: int = BITMAP_BI
             ids = codec.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(x) for x in ids], pa.binary())], ["k", "ids"])
 
-    refs = planned.select("row", F.explode("refs").alias("r")).select("row", "r.no", "r.key", "r.chunk")
-    table = refs.select("key", "chunk").distinct().select(F.col("key").alias("k"), "chunk").mapInArrow(encode, "k binary, ids binary")
-    back = refs.select("row", "no", "key").join(table, F.col("key") == F.col("k")).select("row", F.struct("no", F.lit(TEXT).alias("kind"), "ids").alias("p"))
-    gathered = back.groupBy(F.col("row").alias("of")).agg(F.collect_list("p").alias("back"))
-    mixed = planned.filter(F.size("refs") > 0).select("doc_id", "row", "n_chunks", "own").join(gathered, F.col("row") == F.col("of"))
-    whole = planned.filter(F.size("refs") == 0).select("doc_id", "n_chunks", "own", F.lit(0).alias("n_reused"))
-    together = mixed.select("doc_id", "n_chunks", F.sort_array(F.concat("own", "back")).alias("own"), F.size("back").alias("n_reused")).unionByName(whole)
-
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = get()
         for batch in batches:
-            out = []
-            for parts in batch.column(2).to_pylist():
-                done, open_ = [], []
-                for p in parts:
-                    if p["kind"] == ADDED:
-                        done += [codec.joined(open_)] if open_ else []
-                        done.append(_unpacked(p["ids"]))
-                        open_ = []
-                    else:
-                        open_.append(_unpacked(p["ids"]))
-                done += [codec.joined(open_)] if open_ else []
-                out.append(_packed(np.concatenate(done) if done else np.zeros(0, np.uint32)))
+            out = [put_together(codec, [(p["kind"], _unpacked(p["ids"])) for p in parts]) for parts in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(1), batch.column(3)], ["doc_id", "ids", "n_chunks", "n_reused"])
 
-    return together.select("doc_id", "n_chunks", "own", "n_reused").mapInArrow(join, f"doc_id {id_type}, ids binary, n_chunks int, n_reused int")
+    schema = f"doc_id {id_type}, ids binary, n_chunks int, n_reused int"
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"))
+    refs = kept(rows.mapInArrow(ask, "text_key binary, no int, key binary, chunk string"))
+    table = refs.select("key", "chunk").distinct().select(F.col("key").alias("k"), "chunk").mapInArrow(encode, "k binary, ids binary")
+    back = (refs.select("text_key", "no", "key").distinct().join(table, F.col("key") == F.col("k"))
+            .select("text_key", F.struct("no", F.lit(TEXT).alias("kind"), "ids").alias("p")))
+    gathered = back.groupBy(F.col("text_key").alias("of")).agg(F.collect_list("p").alias("back"))
+    asking = rows.mapInArrow(mixed, f"doc_id {id_type}, text_key binary, n_chunks int, own array<struct<no:int,kind:int,ids:binary>>")
+    together = (asking.join(gathered, F.col("text_key") == F.col("of"))
+                .select("doc_id", "n_chunks", F.sort_array(F.concat("own", "back")).alias("parts"), F.size("back").alias("n_reused")))
+    return together.mapInArrow(join, schema).unionByName(rows.mapInArrow(alone, schema))
