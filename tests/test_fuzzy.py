@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docfields.operators.correct import apply_fuzzy_rules, match_dictionary
-from docfields.operators.fuzzy import best_matches, candidate_pairs
+from docfields.operators.fuzzy import best_matches, candidate_pairs, key_plan, met_pairs
 
 
 def _words(seed, n, alphabet):
@@ -57,3 +57,37 @@ def test_dictionary_keeps_unknown_names(spark):
     values = spark.createDataFrame([("pottaner1",), (" Salem ",), ("ERODE",), (None,)], "value string")
     got = {r["value"]: r["matched"] for r in match_dictionary(values, names).collect()}
     assert got == {"pottaner1": "POTTANERI", " Salem ": "SALEM", "ERODE": "ERODE", None: None}
+
+
+# a suffix that all names share is most of what random names have in common
+@pytest.mark.parametrize("threshold,suffix,most", [(0.8, "", 0.05), (0.75, "", 0.05), (0.8, " traders", 0.1)])
+def test_few_pairs_meet_and_the_share_does_not_grow(spark, threshold, suffix, most):
+    rng = random.Random(4)
+    shares = []
+    for n in (150, 600):
+        names = ["".join(rng.choice("bcdfghklmnprstvz") for _ in range(18)) + suffix for _ in range(n)]
+        damaged = [w[:7] + w[8:] for w in names]
+        values = spark.createDataFrame([("f", w) for w in damaged], "field string, _value string")
+        entries = spark.createDataFrame([("f", w) for w in names], "field string, _entry string")
+        joined, _, _ = met_pairs(values, entries, threshold, "field", "_value", "_entry")
+        met = joined.distinct().count()
+        assert met >= n
+        shares.append((met - n) / n**2)
+    assert max(shares) < most and shares[1] < 1.3 * shares[0] + 0.002
+
+
+def test_kinds_of_keys_agree_from_both_sides():
+    for threshold in (0.6, 0.75, 0.8, 0.95):
+        for m in range(1, 40):
+            for n in range(1, 40):
+                assert key_plan(m, [n], threshold).keys() == key_plan(n, [m], threshold).keys()
+
+
+def test_long_and_monotonous_texts_meet(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefghij klmnop") for _ in range(150)) for _ in range(6)] + ["a" * 120, "ab" * 70]
+    damaged = [w[:20] + w[26:90] + "zzzz" + w[90:] for w in base]
+    values = spark.createDataFrame([("f", w) for w in damaged], "field string, _value string")
+    entries = spark.createDataFrame([("f", w, w) for w in base], "field string, _entry string, _rank string")
+    got = {r["_value"]: r["_rank"] for r in best_matches(values, entries, 0.8).collect()}
+    assert got == dict(zip(damaged, base))
