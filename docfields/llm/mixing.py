@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,12 +138,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, le
         seed: int = 0, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and draws, one row per document row.
 
-    ``draws`` is an array of (shard, repeat, first, last, place): words first..last-1 of the document go to ``shard``
-    in its ``repeat``-th pass, and ``place`` is the random order within the shard. ``taken`` is the number of words
-    in all draws. Every source's documents are permuted by a hash and read round and round as one stream of words;
-    its target, rounded to whole words, is cut into blocks of ``block_words`` (the last may be shorter); shards take
-    disjoint runs of those blocks by the quotas of the splitting tree. So each source's taken words equal its rounded
-    target, and no document is taken more than ``most`` times. A document on an edge is taken in part.
+    ``draws`` is an array of (shard, repeat, place): in its ``repeat``-th pass the whole document goes to ``shard``, at the
+    random ``place`` there. ``taken`` is the number of words in all draws. Every source's documents are permuted by a hash
+    and read round and round as one stream of words; its target, rounded to whole words, is cut into blocks of
+    ``block_words`` (the last may be shorter); shards take disjoint runs of those blocks by the quotas of the splitting
+    tree, and a draw belongs to the shard that holds its first word. The document across the end of the target is taken
+    if that ends no further from the target than leaving it. So each source's taken words differ from its target by half
+    of one document at most, a shard's from its quota by one document at either end, and no document is taken more than
+    ``most`` times or in part.
 
     Null texts and texts without words have size 0 and are never drawn; null sources are a source of their own;
     repeated rows are documents of their own; reruns agree. An empty table gives an empty table. Further
@@ -151,7 +155,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, le
     stream positions within a source are running sums over hash ranges of about 4,096 documents each.
     """
     shards = 2**levels
-    sized = kept(docs.select("doc_id", "source", *columns, words(F.col("text")).alias("size"))
+    sized = kept(docs.select("doc_id", "source", *columns, words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
                  .withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                                                       F.coalesce(F.col("source"), F.lit(""))).cast("binary"))))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
@@ -170,48 +174,42 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, le
     # the first 13 hexadecimal digits as a fraction give the hash range, which never decreases along the key
     fraction = F.conv(F.substring("key", 1, 13), 16, 10).cast("double") / float(2**52)
     chunk = F.floor(fraction * F.ceil(F.col("documents") / 4096)).cast("long")
-    placed = running_total(placed, ["source"], ["key", F.col("doc_id").asc_nulls_first(), "size"], F.col("size"), chunk, "stop")
-    return placed.select("doc_id", "source", "size", "source_size", "target", *columns, "key", "goal", "cuts", (F.col("stop") - F.col("size")).alias("start")) \
+    placed = running_total(placed, ["source"], ["key", F.col("doc_id").asc_nulls_first(), "size", "tie"], F.col("size"), chunk, "stop")
+    return placed.select("doc_id", "source", "size", "source_size", "target", *columns, "key", "tie", "goal", "cuts", (F.col("stop") - F.col("size")).alias("start")) \
         .withColumn("draws", _draws(most, seed)) \
-        .withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["last"] - d["first"])) \
+        .withColumn("taken", F.col("size") * F.size("draws")) \
         .select("doc_id", "source", "size", "source_size", "target", "taken", "draws", *columns)
 
 
 def _draws(most: int, seed: int) -> Column:
-    """The parts of a document's words that each pass gives to each shard."""
+    """The passes that take the document, each with the shard whose blocks hold the draw's first word."""
 
     def of_pass(r: Column) -> Column:
         at = F.col("start") + r * F.col("source_size")
+        shard = F.filter("cuts", lambda c: c["end"] > at)[0]["shard"]
+        return F.when((F.col("size") > 0) & ((F.col("goal") - at) * 2 >= F.col("size")), F.struct(
+            shard.alias("shard"), r.alias("repeat"), F.xxhash64(F.lit(seed), F.col("key"), F.col("doc_id"), F.col("tie"), r).alias("place")))
 
-        def part(c: Column) -> Column:
-            first = F.greatest(F.lit(0).cast("long"), c["end"] - c["words"] - at)
-            last = F.least(F.col("size"), c["end"] - at, F.col("goal") - at)
-            return F.struct(c["shard"].alias("shard"), r.alias("repeat"), first.alias("first"), last.alias("last"),
-                            F.xxhash64(F.lit(seed), F.col("key"), F.col("doc_id"), r, c["shard"]).alias("place"))
+    return F.array_compact(F.transform(F.array(*[F.lit(r).cast("long") for r in range(most)]), of_pass))
 
-        return F.filter(F.transform("cuts", part), lambda d: d["last"] > d["first"])
 
-    return F.flatten(F.transform(F.array(*[F.lit(r).cast("long") for r in range(most)]), of_pass))
+def shards(mixed: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, source, columns, shard, repeat, place: one row per draw."""
+    return mixed.select("doc_id", "source", *columns, F.explode("draws").alias("d")).select("doc_id", "source", *columns, "d.*")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, text, lang, source, n_chars: the mix as documents.
+def mixed_documents(docs: DataFrame, words_per_slice: int = 4_000_000, **options) -> DataFrame:
+    """doc_id, text, lang, source, n_chars: the mix as documents, whole texts only, shard by shard in random order.
 
-    A document drawn n times in full comes n times with its whole text. What is left of a document on an edge of its
-    source's target comes as one more row, its words joined by single spaces.
+    A document drawn n times comes n times. The draws are settled on ids and sizes; texts join them once and are then dealt by
+    shard and place. A shard lies in slices of about ``words_per_slice`` words, so a task sorts one slice, not a shard.
     """
-    size, taken = F.col("size"), F.col("taken")
-    mixed = mix(docs, columns=("text", "lang", "n_chars"), **options).filter("taken > 0")
-    copies = (taken / size).cast("long")
-    rest = (taken % size).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
-    out = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies + F.when(rest > 0, 1).otherwise(0))))
-    return out.withColumn("part", F.when(F.col("copy") > copies, cut)).select(
-        "doc_id", F.coalesce("part", "text").alias("text"), "lang", "source",
-        F.when(F.col("part").isNotNull(), F.length("part").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
-
-
-def shards(mixed: DataFrame) -> DataFrame:
-    """One row per draw, each shard together and in its random order."""
-    parts = mixed.select("doc_id", "source", F.explode("draws").alias("d")).select("doc_id", "source", "d.*")
-    return parts.repartition("shard").sortWithinPartitions("shard", "place", "doc_id")
+    fields = ("doc_id", "text", "lang", "source", "n_chars")
+    rows = kept(docs.select(*fields).withColumn("row", F.monotonically_increasing_id()))
+    mixed = kept(mix(rows, columns=("row",), **options).filter("taken > 0").select("doc_id", "source", "row", "taken", "draws"))
+    slices = max(1, math.ceil((mixed.agg(F.sum("taken")).first()[0] or 0) / 2 ** options.get("levels", 4) / words_per_slice))
+    # the place is uniform over the longs, and its slice never decreases along it
+    piece = F.floor((F.col("place").cast("double") / 2.0**64 + 0.5) * slices)
+    draws = shards(mixed, "row").select(F.col("row").alias("of"), "shard", "place", piece.alias("slice"))
+    return (rows.join(draws, F.col("row") == F.col("of")).repartition("shard", "slice")
+            .sortWithinPartitions("shard", "slice", "place", "row").select(*fields))

@@ -56,15 +56,15 @@ g AS (SELECT *, least(floor(target + 0.5)::BIGINT, 3 * source_size) AS goal FROM
 p AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.goal,
              (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING))::BIGINT - d.size AS start
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - source_size))
-        + greatest(0, least(size, goal - start - 2 * source_size)))::BIGINT AS taken
-FROM p
+-- a pass takes the whole document if at least half of it lies before the end of the target
+SELECT doc_id, size, source_size, target, size * n AS taken, n AS n_draws
+FROM (SELECT *, CASE WHEN size = 0 THEN 0 ELSE (2 * (goal - start) >= size)::BIGINT + (2 * (goal - start - source_size) >= size)::BIGINT
+                     + (2 * (goal - start - 2 * source_size) >= size)::BIGINT END::BIGINT AS n FROM p)
 """)
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from docfields.llm.mixing import mix
 
-    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.size("draws").cast("long").alias("n_draws"))
 
 
 @query("op2_preference_format", """
