@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docfields.llm.common import in_small_batches, kept
 
-WINDOW, MEAN, LEAST, MOST = 24, 256, 64, 2048
+WINDOW, MEAN, LEAST, MOST = 32, 256, 64, 2048
 BITMAP_BITS = 2**26
 # fixed value: how byte-level vocabularies split a text before merging
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,12 +58,12 @@ def cuts(texts: list[str]) -> list[list[int]]:
     data = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     mixed = (data ^ (data >> np.uint32(7))) * np.uint32(0x9E3779B1)
     mixed ^= mixed >> np.uint32(15)
-    h = mixed.copy()
-    # h[i] = sum of mixed[i - j] * 5^j: a hash of the last characters only
-    factor = 1
-    for j in range(1, min(WINDOW, len(data))):
-        factor = factor * 5 % 2**32
-        h[j:] += mixed[:-j] * np.uint32(factor)
+    # h[i] = sum of mixed[i - j] * 5^j over the window, a power of two: each step doubles how far a hash reaches
+    h, j = mixed, 1
+    while j < min(WINDOW, len(data)):
+        longer = h.copy()
+        longer[j:] += h[:-j] * np.uint32(pow(5, j, 2**32))
+        h, j = longer, 2 * j
     places = np.flatnonzero((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - int(math.log2(MEAN))) == 0) + 1
     out, at = [], 0
     for text in texts:
@@ -416,7 +416,8 @@ def encoded(docs: DataFrame, path: Callable[[], str], most_bits: int = BITMAP_BI
     table = refs.select("key", "chunk").distinct().select(F.col("key").alias("k"), "chunk").mapInArrow(encode, "k binary, ids binary")
     back = (refs.select("text_key", "no", "key").distinct().join(table, F.col("key") == F.col("k"))
             .select("text_key", F.struct("no", F.lit(TEXT).alias("kind"), "ids").alias("p")))
-    gathered = back.groupBy(F.col("text_key").alias("of")).agg(F.collect_list("p").alias("back"))
+    # written, so that Spark can split the copies of one text in the join that follows
+    gathered = kept(back.groupBy(F.col("text_key").alias("of")).agg(F.collect_list("p").alias("back")))
     asking = rows.mapInArrow(mixed, f"doc_id {id_type}, text_key binary, n_chunks int, own array<struct<no:int,kind:int,ids:binary>>")
     together = (asking.join(gathered, F.col("text_key") == F.col("of"))
                 .select("doc_id", "n_chunks", F.sort_array(F.concat("own", "back")).alias("parts"), F.size("back").alias("n_reused")))
