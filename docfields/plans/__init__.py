@@ -26,5 +26,6 @@ def load_all() -> None:
         layouts,
         log,
         pages,
+        records,
         texts,
     )

@@ -365,21 +365,14 @@ SELECT o_orderkey AS doc_id, 'GRAND ' || t AS consignee, '12 Cross ' || t || ',
 """)
 def consignee_address(spark, folder):
     """First line under the header is the name; the rest up to the country line is the address."""
-    from docfields.operators import lines as L
+    from docfields.operators.records import consignee_block
 
     k = F.col("o_orderkey")
     t = F.translate(F.lpad(k.cast("string"), 6, "0"), KEY_DIGITS, KEY_LETTERS)
     rows = F.array(F.concat(F.lit(".GRAND "), t, F.lit(" x")), F.concat(F.lit("12 Cross "), t, F.lit(", ;|")), F.lit("Hosur"),
                    F.when(k % 2 == 0, "INDIA").otherwise("INXIA"), F.lit("State 33"))
     lines = table(spark, folder, "orders").select(k.alias("doc_id"), F.posexplode(rows).alias("line_no", "line"))
-    # distinct lines are tested once for the country form
-    flags = lines.select("line").distinct().withColumn("is_country", A.is_country_line(F.col("line")))
-    marked = lines.join(flags, "line")
-    kept = L.until_stop(marked, F.col("is_country") & (F.col("line_no") > 0), skip_first=True)
-    ended = marked.filter(F.col("is_country") & (F.col("line_no") > 0)).groupBy("doc_id").agg(F.min("line_no").alias("line_no")).withColumn("line", F.lit(A.COUNTRY))
-    address = L.join_address(kept.unionByName(ended.select("doc_id", "line_no", "line")))
-    names = lines.filter("line_no = 0").select("doc_id", T.trailing_noise_2(F.col("line")).alias("consignee"))
-    return names.join(address, "doc_id")
+    return consignee_block(lines, ("doc_id",)).withColumnRenamed("delivery_address", "address")
 
 
 @query("v1_registered_pack", """

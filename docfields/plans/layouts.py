@@ -8,9 +8,9 @@ from docfields.functions import address as A
 from docfields.functions import text as T
 from docfields.operators import extract as X
 from docfields.operators import layout as Y
-from docfields.operators import lines as L
+from docfields.operators import records as R
 from docfields.plans import query
-from docfields.plans.derive import WORDS_SQL, table, words
+from docfields.plans.derive import INVOICE_SQL, WORDS_SQL, invoices, table, words
 
 _BANDS = """
 tops AS (SELECT DISTINCT doc_id, page_no, top FROM wd),
@@ -115,8 +115,6 @@ SELECT o_orderkey AS doc_id, lpad(CAST(o_orderkey AS VARCHAR), 10, '4') AS numbe
 """)
 def internal_number(spark, folder):
     """J6 + P22: the digits to the right of an ``Internal Number`` pair, damaged labels included."""
-    from docfields.functions.similarity import similarity
-
     k = F.col("o_orderkey")
     digits = F.lpad(k.cast("string"), 10, "4")
 
@@ -129,18 +127,7 @@ def internal_number(spark, folder):
         box(2, F.when(k % 3 == 0, "Number").otherwise("Nunber"), 190, 100, 60),
         box(3, digits, 260, 101, 100), box(4, F.lit("Number"), 500, 102, 60), box(5, F.lit("1234567890"), 600, 300, 100))
     w = table(spark, folder, "orders").select(k.alias("doc_id"), F.lit(1).alias("page_no"), F.explode(rows).alias("r")).select("doc_id", "page_no", "r.*")
-    low = F.lower(F.trim("text"))
-    # distinct words are scored once, the flags go back by an equi join
-    scored = w.select(low.alias("low")).distinct().select(
-        "low", (similarity(F.col("low"), F.lit("internal")) >= 0.8).alias("is_first"),
-        ((similarity(F.col("low"), F.lit("number")) >= 0.8) | (similarity(F.col("low"), F.lit("no")) >= 0.9)).alias("is_second"))
-    flagged = w.withColumn("low", low).join(scored, "low")
-    pair = Y.nearest_anchor(flagged, F.col("is_first"), F.col("is_second") & ~F.col("is_first"))
-    second = w.withColumnRenamed("word_no", "b_word_no").join(pair, ["doc_id", "page_no", "b_word_no"])
-    x1 = F.col("left") + F.col("w") + 5
-    boxes = second.select("doc_id", "page_no", x1.alias("x1"), (x1 + 400).alias("x2"), (F.col("top") - 30).alias("y1"), (F.col("top") + 40).alias("y2"))
-    inside = Y.words_in_box(w, boxes)
-    return inside.select("doc_id", T.hit(F.replace("box_text", F.lit(" "), F.lit("")), r"(\d{10})").alias("number"))
+    return R.internal_numbers(w).select("doc_id", F.col("invoice_number").alias("number"))
 
 
 @query("j8_weight_box", """
@@ -164,8 +151,7 @@ def weight_box(spark, folder):
         r["word_no"].alias("word_no"), r["text"].alias("text"),
         F.when((r["word_no"] == 2) & (k % 3 == 1), 520).otherwise(r["left"]).alias("left"), r["top"].alias("top"), r["w"].alias("w"), r["h"].alias("h")))
     w = table(spark, folder, "orders").select(k.alias("doc_id"), F.lit(1).alias("page_no"), F.explode(rows).alias("r")).select("doc_id", "page_no", "r.*")
-    inside = Y.words_in_box(w, Y.weight_box(w))
-    return inside.select("doc_id", T.repair_weight(F.col("box_text")).alias("weight"))
+    return R.box_weights(w).select("doc_id", F.col("actual_weight").alias("weight"))
 
 
 @query("p25_gc_number", """
@@ -173,8 +159,6 @@ SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(20000 + o_or
 """)
 def gc_number(spark, folder):
     """P25 + J8: five digits near a damaged label, or the 1dddd part of a longer run."""
-    from docfields.rules.freight_c import GC_LABEL
-
     k = F.col("o_orderkey")
     number = F.when(k % 2 == 0, (k % 70000 + 20000).cast("string")).otherwise(F.concat(F.lit("99"), (k % 9000 + 10000).cast("string")))
     label = F.when(k % 3 == 0, "G.C.No").when(k % 3 == 1, "6.C.N").otherwise("5CNo")
@@ -184,8 +168,7 @@ def gc_number(spark, folder):
 
     rows = F.array(box(0, F.lit("CONSIGNMENT"), 10, 10), box(1, label, 500, 100), box(2, number, 580, 104), box(3, F.lit("55555"), 580, 600))
     w = table(spark, folder, "orders").select(k.alias("doc_id"), F.lit(1).alias("page_no"), F.explode(rows).alias("r")).select("doc_id", "page_no", "r.*")
-    inside = Y.words_in_box(w, Y.gc_box(w, GC_LABEL))
-    return inside.select("doc_id", X.gc_digits(F.col("box_text")).alias("gc_number"))
+    return R.gc_numbers(w).select("doc_id", "gc_number")
 
 
 @query("f30_respace_initials", """
@@ -201,12 +184,8 @@ def respace_initials(spark, folder):
     return Y.respace_initials(w, chars).select("doc_id", "text")
 
 
-@query("p27_delivery_address", """
-SELECT o_orderkey AS doc_id, t || ' Traders, 12 Parvathpuram, Hosur 635001' AS address FROM (
-  SELECT o_orderkey, 'K' || lower(translate(CAST(o_orderkey AS VARCHAR), '0123456789', 'BCDFGHJKLM')) AS t FROM orders)
-""")
-def delivery_address(spark, folder):
-    """Header on the right half, rows under it harvested, joined, cleaned."""
+def _delivery_words(spark, folder):
+    """Two columns of word boxes per order: a delivery block on the right, a recipient block on the left."""
     k = F.col("o_orderkey")
     name = F.concat(F.lit("K"), F.translate(k.cast("string"), "0123456789", "BCDFGHJKLM"), F.lit(" TRADERS"))
     block = [F.lit("Name & Address of Delivery"), name, F.lit("12 Parvath Puram"), F.lit("Hosur 635001"), F.lit("GSTIN 33X"), F.lit("PHONE 99"), F.lit("Never Reached")]
@@ -221,17 +200,28 @@ def delivery_address(spark, folder):
         return [row(i, text) for i, text in enumerate(rows)]
 
     rows = F.concat(*boxes(block, 900), *boxes(left_column, 50))
-    w = table(spark, folder, "orders").select(k.alias("doc_id"), F.lit(1).alias("page_no"), F.explode(rows).alias("r")).select("doc_id", "page_no", "r.*")
-    header = Y.delivery_header(w)
-    start = Y.row_extent(w, header)
-    under = w.join(start.select("doc_id", "page_no", F.col("left").alias("_x"), F.col("bottom").alias("_y")), ["doc_id", "page_no"]).filter(
-        (F.col("left") >= F.least(F.col("_x"), F.lit(900))) & (F.col("top") >= F.col("_y")))
-    tokens = Y.join_split_words(under.drop("_x", "_y"), widths=Y.median_char_width(w))
-    rows_text = Y.line_rollup(tokens.withColumn("word_no", F.col("token_no")), bucket=F.col("row_no")).select(
-        "doc_id", F.col("row_no").alias("line_no"), A.strip_header_fragments(F.col("line")).alias("line"))
-    kept = L.harvest_block(rows_text, A.STOP_TOKENS)
-    text = L.join_lines(kept, ("doc_id",), ("line_no",), sep=", ")
-    return text.select("doc_id", A.local_address_cleanup(A.strip_header_words(A.strip_headers_anywhere(F.col("text")))).alias("address"))
+    return table(spark, folder, "orders").select(k.alias("doc_id"), F.lit(1).alias("page_no"), F.explode(rows).alias("r")).select("doc_id", "page_no", "r.*")
+
+
+@query("p27_delivery_address", """
+SELECT o_orderkey AS doc_id, t || ' Traders, 12 Parvathpuram, Hosur 635001' AS address FROM (
+  SELECT o_orderkey, 'K' || lower(translate(CAST(o_orderkey AS VARCHAR), '0123456789', 'BCDFGHJKLM')) AS t FROM orders)
+""")
+def delivery_address(spark, folder):
+    """Header on the right half, rows under it harvested, joined, cleaned."""
+    return R.delivery_addresses(_delivery_words(spark, folder)).select("doc_id", "address")
+
+
+@query("x1_delivery_address", f"""
+WITH {INVOICE_SQL} SELECT doc_id, invoice_no AS "Invoice No", consignee AS "Consignee",
+  CASE WHEN doc_id % 7 != 0 THEN 'K' || lower(translate(CAST(doc_id AS VARCHAR), '0123456789', 'BCDFGHJKLM')) || ' Traders, 12 Parvathpuram, Hosur 635001' END AS "Delivery Address"
+FROM truth
+""")
+def record_with_address(spark, folder):
+    """X1 + P27: the record of the first client with its delivery address; every seventh document has no word boxes."""
+    record = X.extract_fields(invoices(spark, folder), 1, 1)
+    return R.with_delivery_address(record, _delivery_words(spark, folder).filter("doc_id % 7 != 0")).select(
+        "doc_id", "Invoice No", "Consignee", "Delivery Address")
 
 
 @query("p26_recipient_code", """
