@@ -98,16 +98,15 @@ def calibrated_threshold(scored: list[tuple[float, bool]]) -> float:
     return max(best)[2] if best else 0.0
 
 
-def fit(labelled: DataFrame, order: int = 5, most_labelled: int = 20_000, most_bytes: int = 2048, most_grams: int = 300_000, least_count: int = 2) -> tuple[MarkovRatio, float]:
+def fit(labelled: DataFrame, order: int = 5, most_labelled: int = 20_000, least_count: int = 2) -> tuple[MarkovRatio, float]:
     """Model and threshold from (url, accepted).
 
-    The fit reads a bounded sample: the ``most_labelled`` distinct URLs of each class that come first by hash, those
-    of up to ``most_bytes`` bytes. A fifth of them by hash is held out for the threshold. States above order 2 need
-    ``least_count`` sightings, and at most ``most_grams`` are kept, shorter and more frequent first; so the model
-    that is sent to the executors has a fixed bound.
+    The fit reads a bounded sample: the ``most_labelled`` distinct URLs of each class that come first by hash, whole. A
+    fifth of them by hash is held out for the threshold. N-grams of more than three bytes need ``least_count`` sightings.
+    The bound on rows bounds what is sent to the executors: at most ``order`` + 1 n-grams per byte of the sample.
     """
     def first(accepted: bool) -> DataFrame:
-        mine = labelled.filter(F.col("accepted") == accepted).filter(F.octet_length("url") <= most_bytes).select("url", "accepted").distinct()
+        mine = labelled.filter(F.col("accepted") == accepted).select("url", "accepted").distinct()
         return mine.withColumn("h", F.xxhash64("url")).orderBy("h", "url").limit(most_labelled)
 
     sample = first(True).unionByName(first(False)).cache()
@@ -117,8 +116,7 @@ def fit(labelled: DataFrame, order: int = 5, most_labelled: int = 20_000, most_b
         lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("data") - k)), lambda i: F.when(i + k <= F.octet_length("data"), F.hex(F.substring("data", i, k + 1)))))))
     counted = (sample.filter(F.pmod("h", F.lit(5)) != 0).withColumn("data", data).select("accepted", grams.alias("gram")).filter("gram IS NOT NULL")
                .groupBy("gram").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r"))
-               .filter((F.length("gram") <= 6) | (F.col("a") + F.col("r") >= least_count))
-               .orderBy(F.length("gram"), (F.col("a") + F.col("r")).desc(), "gram").limit(most_grams))
+               .filter((F.length("gram") <= 6) | (F.col("a") + F.col("r") >= least_count)))
     model = MarkovRatio({bytes.fromhex(x["gram"]): (x["a"], x["r"]) for x in counted.collect()}, order)
     held = sample.filter(F.pmod("h", F.lit(5)) == 0).collect()
     threshold = calibrated_threshold([(model.ratio(x["url"]), x["accepted"]) for x in held])
@@ -130,7 +128,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], **fitting) -> Data
     """page_id, host, path, rule, verdict, score: one row per row of (page_id, url).
 
     The longest fitting rule decides; URLs that no rule decides are allowed if their length-normalised log-likelihood
-    difference reaches the calibrated threshold. The URLs that rules decide are the labelled ones. A null or odd URL has
+    difference reaches the calibrated threshold. The URLs that rules decide are the labelled ones and have no score. A null or odd URL has
     empty host and path and is scored as the text it is (null as empty). If rules allow or block nothing, the threshold is
     0. Repeated rows stay; an empty table gives an empty table; other columns of the input are ignored.
     """
@@ -144,8 +142,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], **fitting) -> Data
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for urls in batches:
-            yield urls.map(sent.value.ratio, na_action=None).astype(float)
+            yield urls.map(sent.value.ratio, na_action="ignore").astype(float)
 
-    scored = ruled.withColumn("score", score(F.coalesce("url", F.lit(""))))
+    # URLs that a rule decides send NULL to the model
+    scored = ruled.withColumn("score", score(F.when(F.col("found").isNull(), F.coalesce("url", F.lit("")))))
     by_model = F.when(F.col("score") >= threshold, ALLOW).otherwise(BLOCK)
     return scored.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.verdict"), by_model).alias("verdict"), "score")
