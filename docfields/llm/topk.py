@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docfields.llm.common import kept
+
 
 def scaled(vector: Column, factor: float = 256.0) -> Column:
     """floor(factor * x) of every component, as long."""
@@ -27,13 +29,14 @@ def _kind(queries: np.ndarray, rows: np.ndarray):
     return np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
 
 
-def search_block(query_ids, queries, row_ids, rows, k: int, dims: int = 16, chunk: int = 128):
-    """The k best rows of one block for every query of one block: (query id, row id, score) arrays.
+def search_block(query_rows, queries, floors, row_rows, row_ids, rows, k: int, dims: int = 16, chunk: int = 128):
+    """The k best rows of one block for every query of one block: (query row, row id, score) tuples.
 
     The rows lie in vertical layout, one line per dimension. Scores grow by ``dims`` dimensions at a time. What the
     remaining dimensions can still add or take away is at most the product of the remaining lengths of query and row;
-    a row whose upper bound is below the k-th best lower bound is out, and rows that are out for every query of the
-    chunk are compacted away. Ties at the k-th place all survive, so the tie rule (smaller id) is exact.
+    a row whose upper bound is below the k-th best lower bound, or below the floor the query brings along, is out, and
+    rows that are out for every query of the chunk are compacted away. Ties at the k-th place and at the floor all
+    survive, so the tie rule (smaller id) is exact.
     """
     kind = _kind(queries, rows)
     lines = np.ascontiguousarray(rows.T).astype(kind)
@@ -43,11 +46,12 @@ def search_block(query_ids, queries, row_ids, rows, k: int, dims: int = 16, chun
     out = []
     for at in range(0, len(queries), chunk):
         part = queries[at : at + chunk].astype(kind)
-        ids = query_ids[at : at + chunk]
+        mine_of = query_rows[at : at + chunk]
+        known = floors[at : at + chunk]
         q_squares = np.asarray(queries[at : at + chunk], np.float64) ** 2
         alive = np.arange(len(rows))
         scores = np.zeros((len(part), len(rows)), kind)
-        own = ids[:, None] == row_ids[None, :]
+        own = mine_of[:, None] == row_rows[None, :]
         for step, d in enumerate(range(0, rows.shape[1], dims)):
             here = lines[d : d + dims] if len(alive) == len(rows) else lines[d : d + dims][:, alive]
             scores += part[:, d : d + dims] @ here
@@ -56,7 +60,7 @@ def search_block(query_ids, queries, row_ids, rows, k: int, dims: int = 16, chun
             # one more and a relative margin cover the rounding of the bound itself
             bound = np.sqrt(np.outer(q_squares[:, d + dims :].sum(1), left[step + 1][alive])) * (1 + 1e-9) + 1
             now = np.where(own, -np.inf, scores.astype(np.float64))
-            floor = np.partition(now - bound, -k, axis=1)[:, -k]
+            floor = np.maximum(np.partition(now - bound, -k, axis=1)[:, -k], known)
             keep = (now + bound >= floor[:, None] - np.abs(floor[:, None]) * 1e-9).any(0)
             if not keep.all():
                 alive, scores, own = alive[keep], scores[:, keep], own[:, keep]
@@ -66,7 +70,7 @@ def search_block(query_ids, queries, row_ids, rows, k: int, dims: int = 16, chun
                 line = scores[i][mine]
                 mine = mine[line >= (sorted(line)[-k] if kind is object else np.partition(line, -k)[-k])]
             best = sorted(((-int(scores[i][j]), int(row_ids[alive[j]])) for j in mine))[:k]
-            out += [(int(ids[i]), row, max(-(2**63), min(2**63 - 1, -score))) for score, row in best]
+            out += [(int(mine_of[i]), row, max(-(2**63), min(2**63 - 1, -score))) for score, row in best]
     return out
 
 
@@ -76,40 +80,56 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str
 
     Every row but the query's own is a candidate; ties go to the smaller id; fewer candidates give fewer rows.
     Rows with a null id, a null vector, or a null or non-finite component take no part; vectors are compared with
-    vectors of their own length only; of rows that share an id the smallest vector counts. A score beyond the long
-    range is set to its end. No query or no candidate gives an empty table.
-
-    Vectors are dealt by a hash of the id into blocks of about ``block_rows``. Each pair of a query block and a
-    candidate block is one group, so memory is bounded by two blocks at any table size; a block pair returns at
-    most k rows per query, and a window picks the k best of those.
+    vectors of their own length only. Rows that share an id are rows of their own: each is a candidate of the others, and
+    each that is a query has its own ranks. A score beyond the long range is set to its end. No query or no candidate
+    gives an empty table.
+
+    The scaled vectors are written once with a row number; a hash of it deals them into blocks of about ``block_rows``.
+    Each pair of a query block and a candidate block is one group, so memory is bounded by two blocks at any table size.
+    A first pass meets all queries with one candidate block; the k-th best score of a query there is the floor it brings
+    to all other blocks. A block pair returns at most k rows per query, and a window picks the k best of those.
     """
     # the flag is computed on the caller's columns, before anything is renamed
-    rows = (vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-            .filter(F.col("id").isNotNull() & _finite(F.col("v")))
-            .groupBy("id").agg(F.min(scaled(F.col("v"), factor)).alias("v"), F.max("q").alias("q"))
-            .withColumn("d", F.size("v")))
+    rows = kept(vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+                .filter(F.col("id").isNotNull() & _finite(F.col("v")))
+                .select(F.monotonically_increasing_id().alias("row"), "id", scaled(F.col("v"), factor).alias("v"), "q")
+                .withColumn("d", F.size("v")))
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     blocks, query_blocks = max(1, math.ceil(n / block_rows)), max(1, math.ceil((n_queries or 0) / block_rows))
+    asked = rows.filter("q").withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(query_blocks)))
+    dealt = rows.withColumn("rb", F.pmod(F.xxhash64("row"), F.lit(blocks)))
 
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.select("id", "v", "d", F.pmod(F.xxhash64("id"), F.lit(n_own)).alias(own),
-                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))).alias(other))
-
-    candidates = dealt(rows, "rb", blocks, "qb", query_blocks)
-    queries = dealt(rows.filter("q"), "qb", query_blocks, "rb", blocks)
+    def longs(column: pa.ChunkedArray):
+        return column.combine_chunks().to_numpy(zero_copy_only=False)
 
     def matrix(t: pa.Table):
-        ids = t["id"].combine_chunks().to_numpy(zero_copy_only=False)
-        flat = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return ids, flat.reshape(len(ids), -1)
+        return t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = search_block(*matrix(left), *matrix(right), k) if len(left) and len(right) else []
+        found = search_block(longs(left["row"]), matrix(left), longs(left["floor"]), longs(right["row"]), longs(right["id"]), matrix(right), k) \
+            if len(left) and len(right) else []
         q, r, s = zip(*found) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(r, pa.int64()), "score": pa.array(s, pa.int64())})
-
-    keys = ["d", "qb", "rb"]
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(pairs, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return pa.table({"query": pa.array(q, pa.int64()), "vec_id": pa.array(r, pa.int64()), "score": pa.array(s, pa.int64())})
+
+    def met(queries: DataFrame, candidates: DataFrame, first: int, last: int) -> DataFrame:
+        """Queries (with a floor) against candidate blocks ``first`` to ``last``."""
+        keys = ["d", "qb", "rb"]
+
+        def each(low: int, high: int):
+            return F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long")))
+
+        left = queries.select("row", "v", "d", "qb", "floor", each(first, last).alias("rb"))
+        right = candidates.filter(F.col("rb").between(first, last)).select("row", "id", "v", "d", "rb", each(0, query_blocks - 1).alias("qb"))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pairs, "query long, vec_id long, score long")
+
+    none = F.lit(float("-inf"))
+    found = met(asked.withColumn("floor", none), dealt, 0, 0)
+    if blocks > 1:
+        found = kept(found)
+        floors = found.groupBy("query").agg(F.when((F.count("*") >= k) & (F.min("score") > -(2**63)), F.min("score").cast("double")).alias("_floor"))
+        told = kept(asked.join(floors, F.col("row") == F.col("query"), "left").withColumn("floor", F.coalesce("_floor", none)).drop("query", "_floor"))
+        found = found.unionByName(met(told, dealt, 1, blocks - 1))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return (ranked.join(asked.select("row", F.col("id").alias("query_id")), F.col("query") == F.col("row"))
             .select("query_id", "rank", "vec_id", "score"))

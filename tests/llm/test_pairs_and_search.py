@@ -1,5 +1,6 @@
 """Operators 2, 3, 4 and 5 against brute force."""
 
+import math
 import random
 
 import pytest
@@ -148,19 +149,67 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(empty(spark, "a long, b long")).count() == 0
 
 
+def test_url_ratio_against_a_plain_model(spark):
+    """The verdict of unruled URLs from counts kept in plain dictionaries, by the recursion of the smoothed law; a very long URL is fitted too."""
+    order, least = 3, 2
+    good, bad = [f"http://a{i % 7}.com/x/{i}" for i in range(40)] + ["http://a1.com/" + "qz" * 3000], [f"http://b{i % 5}.net/es/{i * 3}" for i in range(40)]
+    others = ["http://q.org/qzqzqz", "http://q.org/es/9", "odd", ""]
+    pages = spark.createDataFrame(list(enumerate(good + bad + others)), "page_id long, url string")
+    labelled = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "url string, accepted boolean")
+    keys = {r["url"]: r["h"] for r in labelled.select("url", F.xxhash64("url").alias("h")).collect()}
+    counts = [{}, {}]
+    for side, urls in enumerate((good, bad)):
+        for u in urls:
+            if keys[u] % 5:
+                data = u.encode() + b"\0"
+                for k in range(order + 1):
+                    for i in range(len(data) - k):
+                        counts[side][data[i : i + k + 1]] = counts[side].get(data[i : i + k + 1], 0) + 1
+    both = {g for g in {*counts[0], *counts[1]} if len(g) <= 3 or counts[0].get(g, 0) + counts[1].get(g, 0) >= least}
+
+    def p(side, context, byte):
+        shorter = p(side, context[1:], byte) if context else 1 / 257
+        here = {g: c for g, c in counts[side].items() if g in both and g[:-1] == context}
+        return (here.get(context + bytes([byte]), 0) + len(here) * shorter) / (sum(here.values()) + len(here)) if here else shorter
+
+    def ratio(url):
+        data = url.encode() + b"\0"
+        return sum(math.log(p(0, data[max(0, i - order) : i], b) / p(1, data[max(0, i - order) : i], b)) for i, b in enumerate(data)) / len(data)
+
+    cut = calibrated_threshold([(ratio(u), u in good) for u in good + bad if keys[u] % 5 == 0 and len(u) < 1000])
+    got = {r["page_id"]: r for r in judge(pages, [("com/", ALLOW), ("net/", BLOCK)], order=order, least_count=least).collect()}
+    assert len(got) == len(good + bad + others)
+    for i, url in enumerate(others, len(good + bad)):
+        assert got[i]["score"] == pytest.approx(ratio(url), abs=1e-9) and got[i]["verdict"] == (ALLOW if ratio(url) >= cut else BLOCK)
+    assert all(got[i]["score"] is None and got[i]["rule"] for i in range(len(good + bad)))
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """Of rows that share an id each counts; a very long vector and its copy."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0]), (10, [0.5] * 5000), (11, [0.5] * 5000)]
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, 65536), (0, 2, 1, 32768), (10, 1, 11, 128 * 128 * 5000)]
+
+
 def test_top_k_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, rng.random()]) for _ in range(20)], 1) for i in range(300)]
     rows += [(300 + i, rows[i][1], 1) for i in range(20)]  # ties
-    odd = [(1000, None, 1), (1001, [1.0, None], 1), (1002, [float("nan")] * 20, 1), (1003, [float("inf")] * 20, 1), (None, [1.0] * 20, 1), (1010, [1.0, 2.0], 1), (1020, [2.0, 2.0], 1), (5, rows[5][1], 1)]
+    odd = [(1000, None, 1), (1001, [1.0, None], 1), (1002, [float("nan")] * 20, 1), (1003, [float("inf")] * 20, 1), (None, [1.0] * 20, 1)]
+    # rows that share an id with others, queries among them, equal and different vectors
+    rows += [(5, rows[5][1], 1), (7, rows[8][1], 1), (10, rows[11][1], 1), (10, rows[11][1], 1), (1010, [1.0, 2.0], 1), (1020, [2.0, 2.0], 1)]
     vectors = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, d int")
     got = {}
     for r in exact_top_k(vectors, F.col("vec_id") % 10 == 0, k=5, block_rows=60).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    ints = {i: [int(256 * x // 1) for x in v] for i, v, _ in rows + [(1010, [1.0, 2.0], 1), (1020, [2.0, 2.0], 1)]}
-    for q in [i for i in ints if i % 10 == 0]:
-        best = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:5]
-        assert sorted(got.pop(q)) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    ints = [(i, [int(256 * x // 1) for x in v]) for i, v, _ in rows]
+    want = {}
+    for n, (q, own) in enumerate(ints):
+        if q % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(own, v)), i) for m, (i, v) in enumerate(ints) if m != n and len(v) == len(own))[:5]
+            want.setdefault(q, []).extend((r + 1, i, -score) for r, (score, i) in enumerate(best))
+    for q, lines in want.items():
+        assert sorted(got.pop(q)) == sorted(lines)
     assert not got
     assert exact_top_k(vectors.filter("false"), F.col("vec_id") % 10 == 0).count() == 0
     huge = spark.createDataFrame([(0, [1e18]), (1, [1e18]), (2, [-1e18])], "vec_id long, embedding array<double>")
