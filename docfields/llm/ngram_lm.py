@@ -1,16 +1,17 @@
-"""Language-model scoring with a weighted backoff automaton over bigrams, counted on all training text.
+"""Language-model scoring with a weighted backoff automaton over n-grams of any order, counted on all training text.
 
-The model never exists in one place. Documents are read in chunks; a chunk turns its words into small codes and sends
-its distinct n-grams, as sorted 64-bit keys with their training counts, to the key range that owns them. The owner adds
+The model never exists in one place. Documents are read in chunks, whose words become small codes. A chunk sends its
+distinct n-grams, as sorted 64-bit keys with their training counts, to the key range that owns them. The owner adds
 up the counts of all chunks and answers each chunk in the order of its own keys. With the answers a chunk builds the part
 of the automaton that its documents can reach and runs over them.
 
-The automaton: the root has an arc for every known word, every word (and the start of a text) is a state, and an arc leaves
-state h for every bigram (h, w) of the training text. Where there is none, the failure arc of h leads back to the root.
-Weights are log10 of lambda(h) c(hw) / c(h) + (1 - lambda(h)) P(w) on arcs, of 1 - lambda(h) on failure arcs and of P(w) at the
-root, lambda(h) = mu c(h) / (c(h) + kappa). P(w) is (1 - u) c(w) / N, and the class of unknown words has u, the Good-Turing
-mass of words seen once. mu and kappa are the pair of a small grid that makes all training text most likely when each
-token is scored without its own occurrence.
+The automaton: a state is a history of up to order - 1 words (or the start of a text and words after it) that training text
+has; the root is the empty one. An arc leaves state h for every n-gram (h, w) of the training text and ends in the longest
+history that (h, w) ends with; the root has an arc for every word. The failure arc of h leads to h without its first word.
+Weights are log10 of P(w | h) = lambda(h) c(hw) / c(h) + (1 - lambda(h)) P(w | h less its first word) on arcs, and of 1 - lambda(h)
+on failure arcs, with lambda(h) = mu c(h) / (c(h) + kappa). P(w) is (1 - u) c(w) / N, and the class of unknown words has u, the
+Good-Turing mass of words seen once. mu and kappa are the pair of a small grid that makes all training text most likely
+when each token is scored without its own occurrence.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from docfields.llm.common import ascii_words, from_planes, in_small_batches, key
 TOKENS_PER_CHUNK = 1_000_000
 DOCUMENTS_PER_ROW = 1000
 CHARS_PER_BUCKET = 8_000_000
+#: Documents are cut into pieces of so many tokens that run side by side.
+TOKENS_PER_PIECE = 256
 #: (mu, kappa) to choose from
 GRID = tuple((mu, kappa) for mu in (0.1, 0.4, 0.7, 0.95) for kappa in (2.0, 50.0))
 END, START = 0, 1
-#: Bigrams are told apart by 56 bits of their hash; the cleared byte costs nothing in a packed key.
-_PAIR = ~np.uint64(0xFF)
+#: Longer n-grams are told apart by 56 bits of their hash; the cleared byte costs nothing in a packed key.
+_GRAM = ~np.uint64(0xFF)
 #: No word holds white space, so these never meet a word's hash on purpose.
 _MARKS = [xxhash.xxh64_intdigest(m) for m in (b" end", b" start")]
 
@@ -55,47 +58,38 @@ def held_out(ids: list, fold: int, held: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % fold == held for i in ids], bool)
 
 
-def bigrams(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(histories, words, first positions) of the documents laid end to end."""
-    words = np.concatenate(codes)
-    sizes = np.array([len(c) for c in codes])
+def laid_out(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, places in their document) of the documents laid end to end, each after a start mark in place 0."""
+    sizes = np.array([len(c) + 1 for c in codes])
     starts = np.cumsum(sizes) - sizes
-    histories = np.empty_like(words)
-    histories[1:] = words[:-1]
-    histories[starts] = START
-    return histories, words, starts
+    line = np.full(int(sizes.sum()), START, np.int32)
+    place = np.arange(len(line)) - np.repeat(starts, sizes)
+    line[place > 0] = np.concatenate(codes)
+    return line, place
 
 
-def pair_keys(hashes: np.ndarray, histories: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mixed(hashes[histories], hashes[words]) & _PAIR
+def gram_keys(hashes: np.ndarray, line: np.ndarray, place: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, last positions, keys) of the n-grams of 2 to ``order`` codes; none reaches over the start of its document."""
+    key = own = hashes[line]
+    for n in range(2, order + 1):
+        key = np.concatenate([key[:1], mixed(key[:-1], own[1:])])
+        at = np.flatnonzero(place >= n - 1)
+        yield n, at, key[at] & _GRAM
 
 
-SCHEMA = "kind int, chunk long, bucket int, ids array<long>, data binary, counts binary"
-_FIELDS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("data", pa.binary()), ("counts", pa.binary())])
-DOC, WORDS, UNIGRAMS, BIGRAMS = 0, -1, 1, 2
+SCHEMA = "kind int, chunk long, part int, ids array<long>, data binary, sizes binary"
+_FIELDS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("data", pa.binary()), ("sizes", pa.binary())])
+DOC, WORDS = 0, -1
 
 
-def _chunks(docs: DataFrame, fold: int, held: int, bits: int) -> DataFrame:
-    """Per chunk: its documents as codes, its words as hashes, its distinct n-grams with training counts by key range."""
-
-    def ranges(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-        for bucket, k, c in key_ranges(keys, counts, bits):
-            yield kind, chunk, bucket, None, packed_keys(k), planes(c)
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Per chunk: its documents as codes, and the hash of each code."""
 
     def flush(chunk: int, ids: list, codes: list[np.ndarray], table: Codes) -> Iterator[pa.RecordBatch]:
-        hashes = table.hashes()
-        out = held_out(ids, fold, held)
-        histories, words, _ = bigrams(codes)
-        training = np.repeat(~out, [len(c) for c in codes])
-        keys, inverse = np.unique(hashes, return_inverse=True)
-        counts = np.bincount(inverse[words[training]], minlength=len(keys))
-        counts[inverse[START]] += int((~out).sum())
-        rows = [(WORDS, chunk, 0, None, hashes.tobytes(), None), *ranges(UNIGRAMS, chunk, keys, counts)]
-        keys, inverse = np.unique(pair_keys(hashes, histories, words), return_inverse=True)
-        rows += ranges(BIGRAMS, chunk, keys, np.bincount(inverse[training], minlength=len(keys)))
-        for row, at in enumerate(range(0, len(ids), DOCUMENTS_PER_ROW)):
+        rows = [(WORDS, chunk, 0, None, table.hashes().tobytes(), None)]
+        for part, at in enumerate(range(0, len(ids), DOCUMENTS_PER_ROW)):
             some = codes[at : at + DOCUMENTS_PER_ROW]
-            rows.append((DOC, chunk, row, ids[at : at + DOCUMENTS_PER_ROW], planes(np.concatenate(some)), planes(np.array([len(c) for c in some]))))
+            rows.append((DOC, chunk, part, ids[at : at + DOCUMENTS_PER_ROW], planes(np.concatenate(some)), planes(np.array([len(c) for c in some]))))
         for at in range(0, len(rows), 16):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 16]), _FIELDS)], schema=_FIELDS)
 
@@ -120,6 +114,40 @@ def _chunks(docs: DataFrame, fold: int, held: int, bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+def _opened(chunk: pa.Table) -> tuple[list, list[np.ndarray], np.ndarray]:
+    """(ids, codes of each document, hash of each code) of a chunk's rows, in the order of their parts whatever order they came in."""
+    chunk = chunk.sort_by([("kind", "ascending"), ("part", "ascending")])
+    hashes, docs = np.frombuffer(chunk["data"][0].as_py(), np.uint64), chunk.slice(1)
+    ids = [i for row in docs["ids"].to_pylist() for i in row]
+    sizes = np.concatenate([from_planes(x) for x in docs["sizes"].to_pylist()]).astype(np.int64)
+    line = np.concatenate([from_planes(x).astype(np.int32) for x in docs["data"].to_pylist()])
+    return ids, np.split(line, np.cumsum(sizes)[:-1]), hashes
+
+
+GRAMS = "kind int, chunk long, bucket int, data binary, counts binary"
+_GRAM_FIELDS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("counts", pa.binary())])
+
+
+def _grams(fold: int, held: int, order: int, bits: int):
+    """The distinct n-grams of a chunk with their training counts, by key range."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, codes, hashes = _opened(group)
+        line, place = laid_out(codes)
+        training = np.repeat(~held_out(ids, fold, held), [len(c) + 1 for c in codes])
+        keys, inverse = np.unique(hashes, return_inverse=True)
+        rows = [(1, b, packed_keys(k), planes(c)) for b, k, c in key_ranges(keys, np.bincount(inverse[line[training]], minlength=len(keys)), bits)]
+        for n, at, found in gram_keys(hashes, line, place, order):
+            keys, inverse = np.unique(found, return_inverse=True)
+            counts = np.bincount(inverse[training[at]], minlength=len(keys))
+            rows += [(n, b, packed_keys(k), planes(c)) for b, k, c in key_ranges(keys, counts, bits)]
+        kinds, buckets, data, counts = zip(*rows)
+        chunk = group["chunk"][0].as_py()
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((kinds, [chunk] * len(rows), buckets, data, counts), _GRAM_FIELDS)], schema=_GRAM_FIELDS)
+
+    return run
+
+
 def _totals(group: pa.Table) -> pa.Table:
     """The sums of one key range, sent back to every chunk in the order of its keys, and a row of statistics."""
     group = group.sort_by("chunk")
@@ -138,66 +166,156 @@ def _totals(group: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The reachable part of the automaton for one chunk. Arcs are the distinct (history, word) pairs of its documents."""
-
-    def __init__(self, word_counts, arc_history, arc_word, arc_counts, n: int, once: int):
-        self.c, self.h, self.w, self.hw, self.n = word_counts.astype(np.float64), arc_history, arc_word, arc_counts.astype(np.float64), n
-        self.unknown = (once + 0.5) / (n + 1.0)
-
-    def _word(self, count: np.ndarray, n: float) -> np.ndarray:
-        return np.where(count > 0, (1 - self.unknown) * count / max(n, 1), self.unknown)
-
-    def weights(self, mu: float, kappa: float, without: int = 0) -> np.ndarray:
-        """log10 weight of each arc; ``without`` 1 leaves one occurrence of the pair out of all counts."""
-        root = self._word(self.c[self.w] - without, self.n - without)
-        h, pair = self.c[self.h] - without, self.hw - without
-        part = np.where(h > 0, mu * h / (h + kappa), 0.0)
-        arc = np.where(pair > 0, part * pair / np.maximum(h, 1), 0.0)
-        return np.log10(arc + (1 - part) * root)
+    """The part of the automaton that the documents of one chunk can reach.
 
+    ``counts[n]`` are training counts: of each code for n = 1, of each distinct n-gram of the chunk in key order for longer ones.
+    """
 
-def _scores(n: int, v: int, once: int, fold: int, held: int):
+    def __init__(self, hashes: np.ndarray, line: np.ndarray, place: np.ndarray, counts: dict[int, np.ndarray], n: int, once: int):
+        self.line, self.place, self.n, self.order = line, place, n, max(counts)
+        self.counts = {k: c.astype(np.float64) for k, c in counts.items()}
+        self.unknown = (once + 0.5) / (n + 1.0)
+        symbols = self.symbols = len(hashes)
+        # per order: the n-gram at each position, and of each n-gram its history, its suffix and its last code
+        self.at, self.history, self.suffix = {1: line}, {}, {}
+        sources, codes, ends, self.arc_gram = [np.zeros(symbols, np.int64)], [np.arange(symbols)], [], {1: np.arange(symbols)}
+        base, state = {0: 0, 1: 1}, 1 + symbols
+        fail = [np.zeros(1 + symbols, np.int64)]
+        ends.append(np.where((self.counts[1] > 0) & (self.order > 1), 1 + np.arange(symbols), 0))
+        for k, at, keys in gram_keys(hashes, line, place, self.order):
+            _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+            first = at[first]
+            self.at[k] = np.full(len(line), -1, np.int32)
+            self.at[k][at] = inverse
+            self.history[k], self.suffix[k] = self.at[k - 1][first - 1], self.at[k - 1][first]
+            there = self.arc_gram[k] = np.flatnonzero(self.counts[k] > 0)
+            sources.append(base[k - 1] + self.history[k][there].astype(np.int64))
+            codes.append(line[first[there]])
+            if k < self.order:
+                base[k], state = state, state + len(first)
+                fail.append(base[k - 1] + self.suffix[k].astype(np.int64))
+                ends.append(base[k] + there)
+            else:
+                ends.append(base[k - 1] + self.suffix[k][there].astype(np.int64))
+        self.fail = np.concatenate(fail)
+        keys = np.concatenate(sources) * symbols + np.concatenate(codes)
+        self.sorted = np.argsort(keys)
+        self.keys, self.ends = keys[self.sorted], np.concatenate(ends)[self.sorted]
+
+    def run(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """One traversal from left to right: the arc taken at each position, and the states left by a failure arc before it (-1: none).
+
+        Pieces of documents run side by side. A piece inside a document starts order - 1 tokens early at the root, and is then
+        in the state that a run from the start would have reached, as a state holds no more words than that.
+        """
+        starts = np.flatnonzero(self.place == 0)
+        sizes = np.diff(np.append(starts, len(self.line))) - 1
+        pieces = -(-sizes // TOKENS_PER_PIECE)
+        doc = np.repeat(np.arange(len(starts)), pieces)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        cut = starts[doc] + 1 + number * TOKENS_PER_PIECE
+        stop = np.minimum(cut + TOKENS_PER_PIECE, starts[doc] + 1 + sizes[doc])
+        begin = np.maximum(starts[doc] + 1, cut - (self.order - 1))
+        longest = np.argsort(begin - stop, kind="stable")
+        cut, stop, begin = cut[longest], stop[longest], begin[longest]
+        marked = 1 + START if self.order > 1 and self.counts[1][START] > 0 else 0
+        state = np.where(self.place[begin] == 1, marked, 0).astype(np.int64)
+        arcs = np.zeros(len(self.line), np.int32)
+        failed = [np.full(len(self.line), -1, np.int32) for _ in range(self.order - 1)]
+        lengths = begin - stop
+        for step in range(int(-lengths[0])):
+            alive = int(np.searchsorted(lengths, -step, "left"))
+            at = begin[:alive] + step
+            code, counted = self.line[at], at >= cut[:alive]
+            now, arc, todo = state[:alive].copy(), np.zeros(alive, np.int64), np.arange(alive)
+            for level in range(self.order):
+                key = now[todo] * self.symbols + code[todo]
+                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[found] == key
+                arc[todo[hit]] = found[hit]
+                todo = todo[~hit]
+                if not len(todo):
+                    break
+                left = todo[counted[todo]]
+                failed[level][at[left]] = now[left]
+                now[todo] = self.fail[now[todo]]
+            arcs[at[counted]] = arc[counted]
+            state[:alive] = self.ends[arc]
+        return arcs, failed
+
+    def _part(self, counts: np.ndarray, mu: float, kappa: float) -> np.ndarray:
+        return np.where(counts > 0, mu * counts / (counts + kappa), 0.0)
+
+    def probabilities(self, mu: float, kappa: float, without: int = 0) -> dict[int, np.ndarray]:
+        """P(w | h) of every n-gram (h, w) by order; ``without`` 1 leaves one occurrence out of all its counts."""
+        c = self.counts[1] - without
+        p = {1: np.where(c > 0, (1 - self.unknown) * c / max(self.n - without, 1), self.unknown)}
+        for k in range(2, self.order + 1):
+            h, hw = self.counts[k - 1][self.history[k]] - without, self.counts[k] - without
+            part = self._part(h, mu, kappa)
+            p[k] = np.where(hw > 0, part * hw / np.maximum(h, 1), 0.0) + (1 - part) * p[k - 1][self.suffix[k]]
+        return p
+
+    def weights(self, mu: float, kappa: float) -> tuple[np.ndarray, np.ndarray]:
+        """log10 weights of the arcs in key order, and of each state's failure arc (a last 0 for none)."""
+        p = self.probabilities(mu, kappa)
+        arcs = np.log10(np.concatenate([p[k][self.arc_gram[k]] for k in range(1, self.order + 1)]))[self.sorted]
+        leave = [1 - self._part(self.counts[k], mu, kappa) for k in range(1, self.order)]
+        return arcs, np.log10(np.concatenate([[1.0], *leave, [1.0]])) if leave else np.zeros(2 + self.symbols)
+
+    def apart(self, training: np.ndarray, mu: float, kappa: float) -> float:
+        """log10 likelihood of the training tokens, each without its own occurrence."""
+        p, total = self.probabilities(mu, kappa, without=1), 0.0
+        for k in range(1, self.order + 1):
+            top = training & (self.place > 0) & ((self.place >= k - 1) if k == self.order else (self.place == k - 1))
+            seen = np.bincount(self.at[k][top], minlength=len(p[k]))
+            total += float((np.log10(p[k][seen > 0]) * seen[seen > 0]).sum())
+        return total
+
+
+def _scores(n: int, v: int, once: int, fold: int, held: int, order: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = np.array(left["kind"].to_pylist())
-        hashes = np.frombuffer(left["data"][int(np.flatnonzero(kinds == WORDS)[0])].as_py(), np.uint64)
-        docs = left.filter(pa.array(kinds == DOC))
-        ids = [i for row in docs["ids"].to_pylist() for i in row]
-        sizes = np.concatenate([from_planes(x) for x in docs["counts"].to_pylist()]).astype(np.int64)
-        codes = np.split(np.concatenate([from_planes(x) for x in docs["data"].to_pylist()]).astype(np.int32), np.cumsum(sizes)[:-1])
+        ids, codes, hashes = _opened(left)
+        line, place = laid_out(codes)
         right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        totals = {k: np.concatenate([from_planes(x) for kind, x in zip(right["kind"].to_pylist(), right["totals"].to_pylist()) if kind == k]).astype(np.int64)
-                  for k in (UNIGRAMS, BIGRAMS)}
-        counts = totals[UNIGRAMS][np.unique(hashes, return_inverse=True)[1]]
-        histories, words, starts = bigrams(codes)
-        _, first, arcs = np.unique(pair_keys(hashes, histories, words), return_index=True, return_inverse=True)
-        automaton = Automaton(counts, histories[first], words[first], totals[BIGRAMS], n, once)
-        out = held_out(ids, fold, held)
-        seen = np.bincount(arcs[np.repeat(~out, sizes)], minlength=len(first))
-        trained = seen > 0
-        # one run from left to right: the state is the last word, and the arcs passed are added up
-        scores = np.stack([np.add.reduceat(automaton.weights(*g)[arcs], starts) for g in GRID], axis=1)
-        apart = np.array([float((automaton.weights(*g, without=1)[trained] * seen[trained]).sum()) for g in GRID])
-        base = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))[words]
+        kinds, answers = right["kind"].to_pylist(), right["totals"].to_pylist()
+        totals = {k: np.concatenate([from_planes(x) for kind, x in zip(kinds, answers) if kind == k] or [np.zeros(0, np.uint64)]).astype(np.int64) for k in range(1, order + 1)}
+        totals[1] = totals[1][np.unique(hashes, return_inverse=True)[1]]
+        automaton = Automaton(hashes, line, place, totals, n, once)
+        arcs, failed = automaton.run()
+        tokens, out = place > 0, held_out(ids, fold, held)
+        sizes = np.array([len(c) for c in codes])
+        starts = np.cumsum(sizes) - sizes
+        arcs, failed = arcs[tokens], [f[tokens] for f in failed]
+        training = np.repeat(~out, sizes + 1)
+        scores, apart = [], []
+        for mu, kappa in GRID:
+            weight, leave = automaton.weights(mu, kappa)
+            scores.append(np.add.reduceat(weight[arcs] + sum(leave[f] for f in failed), starts))
+            apart.append(automaton.apart(training, mu, kappa))
+        words = line[tokens]
+        base = np.log10((totals[1] + 0.5) / (n + 0.5 * (v + 1)))[words]
         rows = len(codes)
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(out), "n_tokens": pa.array(sizes, pa.int64()),
-            "n_known": pa.array(np.add.reduceat((counts > 0)[words].astype(np.int64), starts), pa.int64()),
+            "n_known": pa.array(np.add.reduceat((totals[1] > 0)[words].astype(np.int64), starts), pa.int64()),
             "base_score": pa.array(np.add.reduceat(base, starts), pa.float64()),
-            "scores": pa.array(list(scores), pa.list_(pa.float64())),
+            "scores": pa.array(list(np.stack(scores, axis=1)), pa.list_(pa.float64())),
             # the chunk's sum, once
-            "apart": pa.array([apart] + [None] * (rows - 1), pa.list_(pa.float64()))})
+            "apart": pa.array([np.array(apart)] + [None] * (rows - 1), pa.list_(pa.float64()))})
 
     return run
 
 
-def score_documents(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of (doc_id, text).
 
     Tokens are the words, A-Z lower-cased, and one end. Documents whose crc32(doc_id as text) mod ``fold`` is ``held`` are
-    scored but not learned from. ``base_score`` is the add-half unigram log10 probability, ``score`` the automaton's. A null
+    scored but not learned from. ``base_score`` is the add-half unigram log10 probability, ``score`` the automaton's, whose
+    n-grams have up to ``order`` words (1 or more). A null
     text is empty and has the end only; a null doc_id counts as the empty text; repeated rows count as often as they come.
-    An empty table gives an empty table; with no training text every token is unknown. Words are told apart by 64-bit hashes, pairs by
-    56-bit ones.
+    An empty table gives an empty table; with no training text every token is unknown. Words are told apart by 64-bit hashes, longer
+    n-grams by 56-bit ones.
 
     Memory: a chunk has TOKENS_PER_CHUNK tokens (or one longer document), a key range about CHARS_PER_BUCKET characters' worth
     of n-grams, whatever the size of the corpus. Only six sums and one number per grid point come to the driver.
@@ -205,15 +323,17 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     in_small_batches(docs.sparkSession)
     chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
     bits = max(2, math.ceil(math.log2(max(1, chars / CHARS_PER_BUCKET))))
-    chunks = kept(_chunks(docs, fold, held, bits))
-    grams = chunks.filter(F.col("kind").isin(UNIGRAMS, BIGRAMS)).select("kind", "chunk", "bucket", "data", "counts")
-    answers = kept(grams.groupBy("kind", "bucket").applyInArrow(_totals, "kind int, chunk long, bucket int, totals binary, n long, v long, once long"))
-    sums = answers.filter((F.col("chunk") == -1) & (F.col("kind") == UNIGRAMS)).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once")]).first()
+    chunks = kept(_chunks(docs))
+    # the keys are made from the written chunks, so they need not be written themselves
+    grams = chunks.repartition(2**bits, "chunk").groupBy("chunk").applyInArrow(_grams(fold, held, order, bits), GRAMS)
+    answers = kept(grams.repartition(order * 2**bits, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(
+        _totals, "kind int, chunk long, bucket int, totals binary, n long, v long, once long"))
+    sums = answers.filter((F.col("chunk") == -1) & (F.col("kind") == 1)).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once")]).first()
     n, v, once = (int(x) for x in sums)
-    left = chunks.filter(F.col("kind").isin(DOC, WORDS)).select("chunk", "kind", "ids", "data", "counts")
-    right = answers.filter("chunk >= 0").select("chunk", "kind", "bucket", "totals")
+    left = chunks.repartition(2**bits, "chunk")
+    right = answers.filter("chunk >= 0").select("chunk", "kind", "bucket", "totals").repartition(2**bits, "chunk")
     scored = kept(left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
-        _scores(n, v, once, fold, held), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, apart array<double>"))
+        _scores(n, v, once, fold, held, order), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, apart array<double>"))
     likelihoods = scored.agg(*[F.coalesce(F.sum(F.col("apart")[i]), F.lit(0.0)) for i in range(len(GRID))]).first()
     best = max(range(len(GRID)), key=lambda i: likelihoods[i])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score",

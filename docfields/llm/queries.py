@@ -126,7 +126,7 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     from docfields.llm.ngram_lm import score_documents
 
-    return score_documents(table(spark, folder, "documents"), fold=5, held=1)
+    return score_documents(table(spark, folder, "documents"), fold=5, held=1, order=3)
 
 
 # fixed value: the split pattern that belongs to the byte-level vocabularies

@@ -124,43 +124,58 @@ def test_quotas_are_exact_and_follow_the_law(spark):
         assert found.get(h, 0) == pytest.approx(math.comb(m, h) * math.comb(n - m, d - h) / math.comb(n, d), abs=2e-4)
 
 
-def lm_by_hand(rows, mu, kappa):
-    tokens = {i: (r["text"] or "").encode().lower().split() + ["</s>"] for i, r in enumerate(rows)}
-    held = {i: zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 5 == 1 for i, r in enumerate(rows)}
-    c, pair = Counter(), Counter()
-    for i, w in tokens.items():
-        if not held[i]:
-            c.update(w)
-            pair.update(zip(["<s>", *w], w))
-    n, once, starts = sum(c.values()), sum(x == 1 for x in c.values()), sum(not h for h in held.values())
+def lm_by_hand(rows, order):
+    """Scores by the interpolation formula, word by word, with the pair of the grid that fits best without the token itself."""
+    tokens = [["<s>", *(r["text"] or "").encode().lower().split(), "</s>"] for r in rows]
+    held = [zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 5 == 1 for r in rows]
+    c = Counter()
+    for w, out in zip(tokens, held):
+        if not out:
+            c.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    words = {g[0]: x for g, x in c.items() if len(g) == 1 and g != ("<s>",)}
+    n, once = sum(words.values()), sum(x == 1 for x in words.values())
     u = (once + 0.5) / (n + 1)
-    out = []
-    for i, w in tokens.items():
-        score = base = 0.0
-        for h, x in zip(["<s>", *w], w):
-            p = (1 - u) * c[x] / n if c[x] else u
-            ch = starts if h == "<s>" else c[h]
-            part = mu * ch / (ch + kappa) if ch else 0.0
-            score += math.log10((part * pair[h, x] / ch if ch else 0.0) + (1 - part) * p)
-            base += math.log10((c[x] + 0.5) / (n + 0.5 * (len(c) + 1)))
-        out.append((rows[i]["doc_id"], held[i], len(w), sum(c[x] > 0 for x in w), n, base, score))
-    return out
-
-
-def test_lm_scores(spark, monkeypatch):
+
+    def p(gram, mu, kappa, less=0):
+        count = c[gram] - less
+        if len(gram) == 1:
+            return (1 - u) * count / max(n - less, 1) if count > 0 else u
+        h = c[gram[:-1]] - less
+        part = mu * h / (h + kappa) if h > 0 else 0.0
+        return (part * count / h if h > 0 and count > 0 else 0.0) + (1 - part) * p(gram[1:], mu, kappa, less)
+
+    def score(w, *g):
+        return sum(math.log10(p(tuple(w[max(0, i - order + 1) : i + 1]), *g)) for i in range(1, len(w)))
+
+    best = max(GRID, key=lambda g: round(sum(score(w, *g, 1) for w, out in zip(tokens, held) if not out), 6))
+    return [(r["doc_id"], out, len(w) - 1, sum(x in words for x in w[1:]), n,
+             sum(math.log10((words.get(x, 0) + 0.5) / (n + 0.5 * (len(words) + 1))) for x in w[1:]), score(w, *best)) for r, w, out in zip(rows, tokens, held)]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(spark, monkeypatch, order):
     docs = documents(spark)
     rows = docs.collect()
-    order = lambda r: (str(r[0]), r[2], r[5])
-    got = sorted(map(tuple, score_documents(docs).collect()), key=order)
-    fits = [all(a[:5] == b[:5] and a[5:] == pytest.approx(b[5:]) for a, b in zip(got, sorted(lm_by_hand(rows, *g), key=order))) for g in GRID]
-    assert any(fits)
+    key = lambda r: (str(r[0]), r[2], r[5])
+    want = sorted(lm_by_hand(rows, order), key=key)
+
+    def held_against_hand(got):
+        got = sorted(map(tuple, got.collect()), key=key)
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert [r[5] for r in got] == pytest.approx([r[5] for r in want]) and [r[6] for r in got] == pytest.approx([r[6] for r in want])
+
+    held_against_hand(score_documents(docs, order=order))
+    # neither the cut into chunks nor that into pieces may show
+    monkeypatch.setattr(ngram_lm, "TOKENS_PER_CHUNK", 150)
+    monkeypatch.setattr(ngram_lm, "TOKENS_PER_PIECE", 3)
+    held_against_hand(score_documents(docs.coalesce(1), order=order))
+
+
+def test_lm_without_training_text(spark):
+    docs = documents(spark)
     assert score_documents(empty(spark)).count() == 0
     untaught = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
     assert {r["train_tokens"] for r in score_documents(untaught).collect()} <= {0}
-    # the cut into chunks must not show
-    monkeypatch.setattr(ngram_lm, "TOKENS_PER_CHUNK", 150)
-    again = sorted(map(tuple, score_documents(docs.coalesce(1)).collect()), key=order)
-    assert [r[:5] for r in again] == [r[:5] for r in got] and [r[6] for r in again] == pytest.approx([r[6] for r in got])
 
 
 def test_fingerprints(spark, monkeypatch):
