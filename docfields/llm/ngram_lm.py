@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import ascii_words, from_planes, in_small_batches, key_ranges, kept, mixed, packed_keys, planes, unpacked_keys
+from docfields.llm.common import ascii_words, from_planes, in_small_batches, key_ranges, kept, mixed, packed_keys, planes, shared_folder, unpacked_keys
 
-TOKENS_PER_CHUNK = 1_000_000
+TOKENS_PER_CHUNK = 2_000_000
 DOCUMENTS_PER_ROW = 1000
 CHARS_PER_BUCKET = 8_000_000
+#: Spark's own bound on the buckets of a table is 100,000.
+MOST_TABLE_BUCKETS = 65_536
 #: Documents are cut into pieces of so many tokens that run side by side.
 TOKENS_PER_PIECE = 256
 #: (mu, kappa) to choose from
@@ -128,20 +131,22 @@ GRAMS = "kind int, chunk long, bucket int, data binary, counts binary"
 _GRAM_FIELDS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("counts", pa.binary())])
 
 
-def _grams(fold: int, held: int, order: int, bits: int):
-    """The distinct n-grams of a chunk with their training counts, by key range."""
+def _grams(fold: int, held: int, orders: range, bits: int):
+    """The distinct n-grams of a chunk, n in ``orders``, with their training counts, by key range."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, codes, hashes = _opened(group)
         line, place = laid_out(codes)
         training = np.repeat(~held_out(ids, fold, held), [len(c) + 1 for c in codes])
-        keys, inverse = np.unique(hashes, return_inverse=True)
-        rows = [(1, b, packed_keys(k), planes(c)) for b, k, c in key_ranges(keys, np.bincount(inverse[line[training]], minlength=len(keys)), bits)]
-        for n, at, found in gram_keys(hashes, line, place, order):
+        rows = []
+        if 1 in orders:
+            keys, inverse = np.unique(hashes, return_inverse=True)
+            rows += [(1, b, packed_keys(k), planes(c)) for b, k, c in key_ranges(keys, np.bincount(inverse[line[training]], minlength=len(keys)), bits)]
+        for n, at, found in gram_keys(hashes, line, place, orders[-1]):
             keys, inverse = np.unique(found, return_inverse=True)
             counts = np.bincount(inverse[training[at]], minlength=len(keys))
             rows += [(n, b, packed_keys(k), planes(c)) for b, k, c in key_ranges(keys, counts, bits)]
-        kinds, buckets, data, counts = zip(*rows)
+        kinds, buckets, data, counts = zip(*rows) if rows else ([],) * 4
         chunk = group["chunk"][0].as_py()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((kinds, [chunk] * len(rows), buckets, data, counts), _GRAM_FIELDS)], schema=_GRAM_FIELDS)
 
@@ -323,17 +328,25 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, order: int =
     in_small_batches(docs.sparkSession)
     chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
     bits = max(2, math.ceil(math.log2(max(1, chars / CHARS_PER_BUCKET))))
-    chunks = kept(_chunks(docs))
-    # the keys are made from the written chunks, so they need not be written themselves
-    grams = chunks.repartition(2**bits, "chunk").groupBy("chunk").applyInArrow(_grams(fold, held, order, bits), GRAMS)
-    answers = kept(grams.repartition(order * 2**bits, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(
-        _totals, "kind int, chunk long, bucket int, totals binary, n long, v long, once long"))
-    sums = answers.filter((F.col("chunk") == -1) & (F.col("kind") == 1)).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once")]).first()
-    n, v, once = (int(x) for x in sums)
-    left = chunks.repartition(2**bits, "chunk")
-    right = answers.filter("chunk >= 0").select("chunk", "kind", "bucket", "totals").repartition(2**bits, "chunk")
-    scored = kept(left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
+    spark, tasks = docs.sparkSession, min(2**bits, MOST_TABLE_BUCKETS)
+    # a table with its rows dealt by chunk is read twice without a shuffle; n-gram keys are made from it and never written
+    name = f"docfields_chunks_{uuid4().hex}"
+    _chunks(docs).write.option("compression", "zstd").option("path", shared_folder(spark)).bucketBy(tasks, "chunk").saveAsTable(name)
+    chunks = spark.table(name)
+
+    def answers(orders: range) -> DataFrame:
+        grams = chunks.groupBy("chunk").applyInArrow(_grams(fold, held, orders, bits), GRAMS)
+        return grams.repartition(len(orders) * tasks, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(
+            _totals, "kind int, chunk long, bucket int, totals binary, n long, v long, once long")
+
+    words = kept(answers(range(1, 2)))
+    n, v, once = (int(x) for x in words.filter("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once")]).first())
+    right = words if order == 1 else words.unionByName(answers(range(2, order + 1)))
+    right = right.filter("chunk >= 0").select("chunk", "kind", "bucket", "totals").repartition(tasks, "chunk")
+    scored = kept(chunks.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
         _scores(n, v, once, fold, held, order), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, apart array<double>"))
+    # the files stay in the shared folder, the name goes
+    spark.sql(f"DROP TABLE {name}")
     likelihoods = scored.agg(*[F.coalesce(F.sum(F.col("apart")[i]), F.lit(0.0)) for i in range(len(GRID))]).first()
     best = max(range(len(GRID)), key=lambda i: likelihoods[i])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score",
