@@ -194,12 +194,15 @@ def batch_tally(spark, folder):
 _STATUS = "CASE event_type WHEN 'view' THEN 'Not Started' WHEN 'click' THEN 'In Progress' WHEN 'error' THEN 'Failed' ELSE 'Completed' END"
 
 
-def status_events(spark, folder):
+def event_status():
     kind = F.col("event_type")
-    status = (F.when(kind == "view", S.NOT_STARTED).when(kind == "click", S.IN_PROGRESS).when(kind == "error", S.FAILED)
-              .otherwise(S.COMPLETED))
+    return (F.when(kind == "view", S.NOT_STARTED).when(kind == "click", S.IN_PROGRESS).when(kind == "error", S.FAILED)
+            .otherwise(S.COMPLETED))
+
+
+def status_events(spark, folder):
     return table(spark, folder, "events").select(
-        F.col("user_id").alias("doc_id"), status.alias("status"), F.col("ts").alias("at"),
+        F.col("user_id").alias("doc_id"), event_status().alias("status"), F.col("ts").alias("at"),
         F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("note "), F.col("event_id").cast("string"))).alias("note"),
         (F.col("event_id") % 4).cast("int").alias("attempt"))
 
@@ -351,3 +354,70 @@ def stream_retry(spark, folder):
     events = drain()
     counted = events.groupBy("doc_id").agg(F.count("*").alias("events"))
     return S.current_status(events).join(counted, "doc_id").select("doc_id", "status", "attempt", "events")
+
+
+_MACHINE_SQL = f"""
+WITH RECURSIVE e AS (
+  SELECT user_id AS doc_id, event_id, {_STATUS} AS status, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
+), f AS (
+  SELECT DISTINCT doc_id, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS TIMESTAMP) AS ts, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS outcome,
+    0 AS tried, CAST(NULL AS TIMESTAMP) AS released, CAST(NULL AS VARCHAR) AS now, 0 AS attempt, CAST(NULL AS TIMESTAMP) AS not_before, false AS held FROM e
+  UNION ALL
+  SELECT doc_id, event_id, status, ts, rn, outcome, CASE WHEN attempt = 0 AND outcome = 'accepted' THEN 1 ELSE attempt END, released,
+    CASE WHEN outcome != 'accepted' THEN now WHEN status = 'Failed' AND attempt <= 2 THEN 'Not Started' ELSE status END,
+    CASE WHEN outcome != 'accepted' THEN attempt WHEN status = 'Not Started' THEN 1 WHEN status = 'Failed' AND attempt <= 2 THEN attempt + 1 ELSE attempt END,
+    CASE WHEN outcome != 'accepted' THEN not_before WHEN status = 'Failed' AND attempt <= 2 THEN ts + INTERVAL 2 DAY END,
+    CASE WHEN outcome = 'held' THEN true WHEN outcome = 'accepted' THEN false ELSE held END
+  FROM (SELECT *, CASE WHEN status = 'Not Started' AND now IS NULL THEN 'accepted'
+      WHEN status = 'In Progress' AND now = 'Not Started' AND (not_before IS NULL OR ts >= not_before) THEN 'accepted'
+      WHEN status = 'In Progress' AND now = 'Not Started' AND NOT held THEN 'held'
+      WHEN status IN ('Completed', 'Failed') AND now = 'In Progress' THEN 'accepted' ELSE 'rejected' END AS outcome
+    FROM (SELECT e.*, f.attempt, CASE WHEN f.held AND e.ts >= f.not_before THEN f.not_before END AS released,
+        CASE WHEN f.held AND e.ts >= f.not_before THEN 'In Progress' ELSE f.now END AS now,
+        CASE WHEN f.held AND e.ts >= f.not_before THEN NULL ELSE f.not_before END AS not_before, f.held AND e.ts < f.not_before AS held
+      FROM f JOIN e ON e.doc_id = f.doc_id AND e.rn = f.rn + 1))
+), ended AS (SELECT doc_id, arg_max(held, rn) AS held, arg_max(attempt, rn) AS attempt, max(not_before) AS not_before FROM f GROUP BY doc_id),
+machine AS (
+  SELECT doc_id, event_id, status, ts AS "at", tried AS attempt, outcome FROM f WHERE rn > 0
+  UNION ALL SELECT doc_id, NULL, 'In Progress', released, attempt, 'released' FROM (
+    SELECT f.doc_id, f.released, p.attempt FROM f JOIN f p ON p.doc_id = f.doc_id AND p.rn = f.rn - 1) WHERE released IS NOT NULL
+  UNION ALL SELECT doc_id, NULL, 'In Progress', not_before, attempt, 'released' FROM ended WHERE held AND not_before <= (SELECT max(ts) FROM events)
+)
+"""
+
+
+def machine_rows(spark, folder):
+    """The events in two intakes, an earlier and a later one, each drained from the same checkpoint: state and timers live on between them."""
+    from uuid import uuid4
+
+    from docfields.session import shared_folder
+    from docfields.streaming.machine import drain_transitions
+
+    root = f"{shared_folder(spark)}/machine-{uuid4().hex}"
+    events = table(spark, folder, "events").select(
+        F.col("user_id").alias("doc_id"), "event_id", event_status().alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    first = F.col("at") < F.lit("2024-01-16").cast("timestamp")
+    for part in (events.filter(first), events.filter(~first)):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        drain_transitions(stream, f"{root}/out", f"{root}/check", backoff_seconds=2 * 86_400).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("doc_id", "event_id", "status", F.timestamp_micros("us").alias("at"), "attempt", "outcome")
+
+
+@query("q3_transitions", _MACHINE_SQL + 'SELECT doc_id, event_id, status, "at", attempt, outcome FROM machine')
+def transitions(spark, folder):
+    """Q3, Q7: every event with its outcome, rejected ones included, and the starts that were held back until their time."""
+    return machine_rows(spark, folder)
+
+
+@query("q7_backoff", _MACHINE_SQL + """
+SELECT doc_id, count(*) FILTER (WHERE outcome = 'held') AS held, count(*) FILTER (WHERE outcome = 'released') AS released,
+  count(*) FILTER (WHERE outcome = 'accepted' AND status = 'Failed') AS failures,
+  coalesce(bool_or(outcome = 'accepted' AND status = 'Failed' AND attempt = 3), false) AS given_up FROM machine GROUP BY doc_id
+""")
+def backoff(spark, folder):
+    """Q7 per document: starts held back and released, failed tries, and whether the third failure ended it."""
+    kept, failed = F.col("outcome") == "accepted", F.col("status") == S.FAILED
+    return machine_rows(spark, folder).groupBy("doc_id").agg(
+        F.count_if(F.col("outcome") == "held").alias("held"), F.count_if(F.col("outcome") == "released").alias("released"),
+        F.count_if(kept & failed).alias("failures"), F.max(kept & failed & (F.col("attempt") == 3)).alias("given_up"))
