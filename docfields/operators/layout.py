@@ -38,8 +38,10 @@ def right(df_col=F.col) -> Column:
 def median_char_width(words: DataFrame, keys=PAGE) -> DataFrame:
     """Median box width per character; the default stands in where a crop has no words with text."""
     widths = F.col("w") / F.greatest(F.length("text"), F.lit(1))
-    return words.filter(F.length("text") > 0).groupBy(*keys).agg(
-        F.coalesce(F.median(widths), F.lit(DEFAULT_CHAR_WIDTH)).alias("char_width"))
+    # a page has few different widths: they are counted in a plain hash aggregation, and only their counts are sorted
+    counted = words.filter(F.length("text") > 0).groupBy(*keys, widths.alias("_width")).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy(*keys).agg(
+        F.coalesce(F.percentile("_width", 0.5, F.col("_n")), F.lit(DEFAULT_CHAR_WIDTH)).alias("char_width"))
 
 
 def line_rollup(words: DataFrame, keys=PAGE, bucket: Column | None = None) -> DataFrame:

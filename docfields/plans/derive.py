@@ -7,10 +7,9 @@ from their keys and columns. Everything grows with the tables.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docfields.functions.text import lines_of
+from docfields.functions.text import let, lines_of
 from docfields.session import spread
 
 SMUDGED, SMUDGE = "015", "OlS"
@@ -228,11 +227,26 @@ ln AS (
 """
 
 
+def starts(pieces: Column, step: int = 16) -> Column:
+    """Where each piece begins in the text that it was split from by one character. Summed by blocks and then inside a block,
+    within the row: no shuffle, and no square of a long line's pieces."""
+    def total(sizes: Column) -> Column:
+        return F.aggregate(sizes, F.lit(0), lambda a, b: a + b)
+
+    def from_blocks(sizes: Column, blocks: Column) -> Column:
+        return let(F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b))), lambda begun: F.transform(
+            sizes, lambda _, i: F.get(begun, F.floor(i / step).cast("int")) + total(F.slice(sizes, i - i % step + 1, i % step))))
+
+    return let(F.transform(pieces, lambda p: F.length(p) + 1), lambda sizes: let(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / step).cast("int")), lambda b: total(F.slice(sizes, b * step + 1, F.lit(step)))),
+        lambda blocks: from_blocks(sizes, blocks)))
+
+
 def words(spark: SparkSession, folder: str) -> DataFrame:
     """Word boxes of the documents: 18 units per line with a small jitter, 10 units per character."""
-    before = W.partitionBy("doc_id", "line_no").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    w = document_lines(spark, folder).select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("i", "text"))
-    w = w.withColumn("at", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")).filter("text != ''")
+    placed = let(F.split("line", " "), lambda ws: F.arrays_zip(ws.alias("text"), starts(ws).alias("at")))
+    w = document_lines(spark, folder).select("doc_id", "line_no", F.posexplode(placed).alias("i", "word"))
+    w = w.select("doc_id", "line_no", "i", "word.text", "word.at").filter("text != ''")
     return w.select(
         "doc_id", F.lit(1).alias("page_no"), (F.col("line_no") * 100000 + F.col("i")).alias("word_no"), "text",
         (F.col("at") * 10).alias("left"), (F.col("line_no") * 18 + F.col("i") % 5).alias("top"),
