@@ -5,11 +5,11 @@ No side is broadcast on an estimate: rules and names may be many times what thei
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields.operators.fuzzy import best_matches
-from docfields.session import cut_lineage, large
+from docfields.session import cut_lineage, large, spread
 
 # --- fixed values ---------------------------------------------------------------------------------
 FUZZY_FIELDS = ("Branch", "Source", "Destination", "Consignor", "Consignee")
@@ -18,6 +18,7 @@ TRANSFORMED_FIELDS = (
 )
 VALUE_THRESHOLD = 0.80
 NAME_THRESHOLD = 0.75
+RUN_CELLS, RUN_SHARES, SHARE_ROWS = 1 << 16, 1 << 12, 1_000
 # --------------------------------------------------------------------------------------------------
 
 
@@ -178,6 +179,25 @@ def list_rules(rules: DataFrame, field: str | None = None, rule_id: int | None =
     return out.orderBy("field_name", "from_value", "id")
 
 
+def _look_up(runs: DataFrame, places: DataFrame, keys) -> DataFrame:
+    """Runs of words with the learned place that each is, by an equi join.
+
+    Some words stand in nearly every address, and all their rows would meet in one task. So runs are counted by the cell of
+    their hash. A cell with more than a share is cut, by ``keys``, into as many parts as it has shares, and its places are
+    copied to each: all cells together have at most twice RUN_SHARES parts, so few places are copied.
+    """
+    spark = runs.sparkSession
+    cell = F.pmod(F.xxhash64("_run"), F.lit(RUN_CELLS)).alias("_cell")
+    counted = runs.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).collect()
+    share = max(SHARE_ROWS, sum(r["n"] for r in counted) // RUN_SHARES)
+    crowded = F.broadcast(spark.createDataFrame([(r["_cell"], -(-r["n"] // share)) for r in counted if r["n"] > share], "_cell long, _parts long"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = runs.withColumn("_cell", cell).join(crowded, "_cell", "left").withColumn("_part", F.pmod(F.xxhash64(*keys), parts)).drop("_cell", "_parts")
+    copied = places.withColumn("_cell", cell).join(crowded, "_cell", "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_cell", "_parts")
+    return spread(dealt, "_run", "_part").join(large(copied), ["_run", "_part"]).drop("_part")
+
+
 def correct_places(addresses: DataFrame, learned: DataFrame, keys=("doc_id",), text: str = "address") -> DataFrame:
     """The lower-cased addresses with every learned place, of one or more words, put right.
 
@@ -186,27 +206,29 @@ def correct_places(addresses: DataFrame, learned: DataFrame, keys=("doc_id",), t
     correction writes is not looked up again. Of a place learned twice the latest correction counts, at its first place
     in the order. ``keys`` must name one address each.
     """
-    places = learned.filter(F.coalesce(F.trim("wrong"), F.lit("")) != "").groupBy(F.lower(F.trim("wrong")).alias("_run")).agg(
-        F.lower(F.max_by("correct", "ord")).alias("_right"), F.min("ord").alias("_ord"))
-    most = places.agg(F.max(F.size(F.regexp_extract_all("_run", F.lit(r"(?U)\w+"), F.lit(0))))).first()[0] or 0
+    known = learned.filter(F.coalesce(F.trim("wrong"), F.lit("")) != "").select(F.lower(F.trim("wrong")).alias("_run"), "correct", "ord")
+    most = known.agg(F.max(F.size(F.regexp_extract_all("_run", F.lit(r"(?U)\w+"), F.lit(0))))).first()[0] or 0
+    places = known.groupBy("_run").agg(F.lower(F.max_by("correct", "ord")).alias("_right"), F.min("ord").alias("_ord"))
     cut = addresses.select(*keys, F.expr(f"regexp_extract_all(lower(`{text}`), '(?U)\\\\w+|[^\\\\w]+', 0)").alias("_pieces"))
-    is_word = F.transform("_pieces", lambda x: x.rlike(r"(?U)^\w"))
-    runs = cut.withColumn("_word", is_word).select(*keys, "_pieces", F.posexplode("_word").alias("_at", "_starts")).filter("_starts")
-    found = None
-    for n in range(1, most + 1):
-        # n words and the n - 1 separators between them
-        some = runs.filter(F.col("_at") + 2 * n - 1 <= F.size("_pieces")).select(
-            *keys, "_at", F.lit(2 * n - 1).alias("_size"), F.array_join(F.slice("_pieces", F.col("_at") + 1, F.lit(2 * n - 1)), "").alias("_run"))
-        found = some if found is None else found.unionByName(some)
-    if found is None:
+    if not most:
         return cut.select(*keys, F.array_join("_pieces", "").alias(text))
-    spans = found.join(large(places), "_run").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_ord", "_at", "_size", "_right"))).alias("_spans"))
+
+    def runs_from(i: Column) -> Column:
+        # n words and the n - 1 separators between them
+        longest = F.least(F.lit(most), F.floor((F.size("_pieces") - i + 1) / 2).cast("int"))
+        return F.transform(F.sequence(F.lit(1), longest), lambda n: F.struct(
+            i.alias("_at"), (2 * n - 1).alias("_size"), F.array_join(F.slice("_pieces", i + 1, 2 * n - 1), "").alias("_run")))
+
+    runs = cut.select(*keys, F.explode(F.flatten(F.transform("_pieces", lambda piece, i: F.when(piece.rlike(r"(?U)^\w"), runs_from(i)).otherwise(
+        F.array().cast("array<struct<_at:int,_size:int,_run:string>>"))))).alias("r")).select(*keys, "r.*")
+    spans = _look_up(runs, places, keys).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_ord", "_at", "_size", "_right"))).alias("_spans"))
     free = F.aggregate("_spans", F.slice("_spans", F.lit(1), F.lit(0)), lambda kept, s: F.when(
         F.exists(kept, lambda k: (k["_at"] < s["_at"] + s["_size"]) & (s["_at"] < k["_at"] + k["_size"])), kept).otherwise(F.concat(kept, F.array(s))))
     written = F.transform("_pieces", lambda piece, i: F.coalesce(
         F.get(F.transform(F.filter("_kept", lambda k: (k["_at"] <= i) & (i < k["_at"] + k["_size"])),
                           lambda k: F.when(k["_at"] == i, k["_right"]).otherwise(F.lit(""))), 0), piece))
-    return (cut.join(large(spans), list(keys), "left").withColumn("_kept", F.when(F.col("_spans").isNotNull(), free))
+    return (spread(cut, *keys).join(large(spans), list(keys), "left").withColumn("_kept", F.when(F.col("_spans").isNotNull(), free))
             .select(*keys, F.array_join(F.when(F.col("_kept").isNull(), F.col("_pieces")).otherwise(written), "").alias(text)))
 
 
