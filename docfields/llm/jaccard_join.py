@@ -254,24 +254,35 @@ def similar_within(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, p
     return found
 
 
-def _possible(texts: DataFrame, ids: DataFrame, most_bits: int = 2**27) -> DataFrame:
-    """The rows of (doc_id, text) whose doc_id may be among ``ids``, by a bitmap of hashed ids of at most ``most_bits`` bits.
+def possible(ids: DataFrame, column: str, most_bits: int = 2**27):
+    """(place, test): a Column that says if a row's ``column``, a long, may be among ``ids`` is ``test(place)``.
 
-    It spares the join that follows the shuffle of most texts. Where ids are too many for it, it lets more rows through.
+    A bitmap of hashed ids, of at most ``most_bits`` bits, tells: a row whose id is not in it is surely not among them. Where ids
+    are too many for it, more rows may be. It spares a join that follows the shuffle of rows that it cannot need.
     """
     bits = min(most_bits, max(2**15, 2 ** math.ceil(math.log2(16 * max(1, ids.count())))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
-    parts = (ids.select(F.col("rep").alias("doc_id")).select(place.alias("p"))
+    place = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+    parts = (ids.select(place.alias("p"))
              .groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap")).collect())
     bitmap = np.zeros(bits // 8, np.uint8)
     for r in parts:
         bitmap[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bitmap"], np.uint8)
-    sent = texts.sparkSession.sparkContext.broadcast(bitmap)
+    sent = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    def test(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False) - 1
+        return pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return place, test
+
+
+def _possible(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of (doc_id, text) whose doc_id may be among ``ids``."""
+    place, test = possible(ids.select(F.col("rep").alias("doc_id")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False) - 1
-            found = batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            found = batch.filter(test(batch.column(2)))
             yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], ["doc_id", "text"])
 
     return texts.filter("doc_id IS NOT NULL").select("doc_id", "text", place.alias("p")).mapInArrow(run, "doc_id long, text string")
