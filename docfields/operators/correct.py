@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields.operators.fuzzy import best_matches
-from docfields.session import cut_lineage, large, spread
+from docfields.session import cut_lineage, large, spread, written
 
 # --- fixed values ---------------------------------------------------------------------------------
 FUZZY_FIELDS = ("Branch", "Source", "Destination", "Consignor", "Consignee")
@@ -53,8 +53,9 @@ def resolve_values(values: DataFrame, rules: DataFrame, threshold: float = VALUE
     r = large(effective_rules(rules))
     distinct = values.select(F.col(field).alias("field"), F.col(value).alias("_raw")).filter(
         F.coalesce(F.col("_raw"), F.lit("")) != "").distinct()
-    exact = distinct.join(r, (distinct["field"] == r["field"]) & (distinct["_raw"] == r["from_value"]), "left").select(
-        distinct["field"], "_raw", "to_value")
+    # read by the search, by the join of its matches and by the result
+    exact = written(distinct.join(r, (distinct["field"] == r["field"]) & (distinct["_raw"] == r["from_value"]), "left").select(
+        distinct["field"], "_raw", "to_value"))
     missed = exact.filter(F.col("to_value").isNull() & F.col("field").isin(*fuzzy_fields)).select(
         "field", "_raw", F.lower("_raw").alias("_value"))
     entries = r.filter(F.col("field").isin(*fuzzy_fields) & (F.col("from_value") != "")).select(
