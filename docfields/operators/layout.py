@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docfields.functions.address import DELIVERY_HEADER, RECIPIENT_HEADER
-from docfields.operators.ordered import ordinal
 from docfields.session import large, spread
 
 # --- fixed values ---------------------------------------------------------------------------------
@@ -52,7 +51,7 @@ def line_rollup(words: DataFrame, keys=PAGE, bucket: Column | None = None) -> Da
             .agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("line")))
 
 
-def band_rows(words: DataFrame, tolerance: int = BAND_TOLERANCE, keys=PAGE, span: int = 4096) -> DataFrame:
+def band_rows(words: DataFrame, tolerance: int = BAND_TOLERANCE, keys=PAGE, span: int = 4096, whole_pages: bool = False) -> DataFrame:
     """Adds ``band`` (its head's top): a word joins while it is within the tolerance of the band's first top.
 
     Banding depends only on the distinct tops of a page and is sequential along them, but the state entering any
@@ -60,6 +59,9 @@ def band_rows(words: DataFrame, tolerance: int = BAND_TOLERANCE, keys=PAGE, span
     So each stretch of ``span`` units is reduced, in parallel, to a table entering head -> leaving head; these
     tables are chained per page, and each stretch is then banded with its known entering head. A task sees at most
     ``span`` distinct tops, a page's chain one row per stretch.
+
+    Words and bands are one table, shuffled once and dealt by stretches; with ``whole_pages`` by pages, for steps that go on
+    with whole pages and then need no other shuffle.
     """
     keys = list(keys)
     tops = words.select(*keys, "top").distinct().withColumn("_part", F.floor(F.col("top") / span))
@@ -96,13 +98,20 @@ def band_rows(words: DataFrame, tolerance: int = BAND_TOLERANCE, keys=PAGE, span
     banded = (parts.join(large(heads), [*keys, "_part"])
               .select(*keys, F.explode(F.aggregate("_tops", step, place)["out"]).alias("b"))
               .select(*keys, F.col("b.top").alias("top"), F.col("b.band").alias("band")))
-    return words.join(large(banded), [*keys, "top"])
+    dealt = keys if whole_pages else [*keys, "_part"]
+    rows = words.select(*words.columns, F.lit(True).alias("_is_word")).unionByName(banded.withColumn("_is_word", F.lit(False)), allowMissingColumns=True)
+    rows = spread(rows.withColumn("_part", F.floor(F.col("top") / span)), *dealt)
+    of_top = F.max("band").over(W.partitionBy(*keys, "_part", "top"))
+    return rows.withColumn("band", of_top).filter(F.col("_is_word") & F.col("band").isNotNull()).select(*words.columns, "band")
 
 
 def reading_order(words: DataFrame, keys=PAGE, tolerance: int = BAND_TOLERANCE) -> DataFrame:
-    """Words numbered in reading order (band, then left) within their page."""
-    banded = band_rows(words, tolerance, keys)
-    return ordinal(banded, keys, ("band", "left", "word_no"), F.floor(F.col("band") / 2048), "read_no")
+    """Words numbered in reading order (band, then left) within their page.
+
+    Words are shuffled once, by page; a page's words are sorted, on disk where they must, and counted one after the other.
+    """
+    banded = band_rows(words, tolerance, keys, whole_pages=True)
+    return banded.withColumn("read_no", F.row_number().over(W.partitionBy(*keys).orderBy("band", "left", "word_no")).cast("long"))
 
 
 def join_split_words(words: DataFrame, keys=PAGE, widths: DataFrame | None = None) -> DataFrame:
@@ -144,10 +153,10 @@ def header_score(words: DataFrame, pattern: str = DELIVERY_HEADER, keys=PAGE) ->
 
 def _best_header(words: DataFrame, patterns: list[str], keys) -> DataFrame:
     """Header words of the first pattern a page has; contexts are built once for all patterns."""
-    width = words.groupBy(*keys).agg(F.max(right()).alias("_width"))
     kind = F.coalesce(*[F.when(F.col("context").rlike(p), i) for i, p in enumerate(patterns)])
-    # the width joins bare words: a context is as long as all the words it joins, and is filtered where it is made
-    scored = context_of(reading_order(words.join(large(width), list(keys)), keys), keys).filter(
+    # words in reading order lie by pages already, so neither the width nor the context shuffles them again
+    ordered = reading_order(words, keys).withColumn("_width", F.max(right()).over(W.partitionBy(*keys)))
+    scored = context_of(ordered, keys).filter(
         (F.col("left") >= F.col("_width") * 0.5) & ~F.col("context").rlike(NOT_A_HEADER)
     ).withColumn("_kind", kind).filter(F.col("_kind").isNotNull())
     score = (
@@ -183,24 +192,41 @@ def row_extent(words: DataFrame, headers: DataFrame, keys=PAGE) -> DataFrame:
 def nearest_anchor(words: DataFrame, first: Column, second: Column, keys=PAGE, dy: int = 15, dx: int = 100) -> DataFrame:
     """Per page the closest (first word, second word) pair on one row, the second to the right.
 
-    A range join turned into an equi join on grid cells: the first word's right end names its cell, the second word
-    is copied to the cells it can be reached from. Equal boxes are one candidate, so a cell holds at most
-    dy * dx different boxes per side.
+    A range join turned into groups of grid cells: the first word's right end names its cell, the second word is copied to the
+    cells it can be reached from. Equal boxes are one candidate, so a cell holds at most dy * dx different boxes per side.
+    Only flagged words are shuffled, once and by page; they are copied to cells after that.
     """
     keys = list(keys)
 
-    def boxes(flag: Column, prefix: str, x: Column) -> DataFrame:
-        return (words.filter(flag).groupBy(*keys, F.col("top").alias(f"{prefix}_top"), x.alias(f"{prefix}_x"))
-                .agg(F.min("word_no").alias(f"{prefix}_word_no")))
-
-    a = boxes(first, "a", right()).withColumn("_gy", F.floor(F.col("a_top") / dy)).withColumn("_gx", F.floor(F.col("a_x") / dx))
-    b = boxes(second, "b", F.col("left"))
-    gy, gx = F.floor(F.col("b_top") / dy), F.floor(F.col("b_x") / dx)
-    b = (b.withColumn("_gy", F.explode(F.array(gy - 1, gy, gy + 1))).withColumn("_gx", F.explode(F.array(gx - 1, gx))))
-    y, x = F.abs(F.col("a_top") - F.col("b_top")), F.col("b_x") - F.col("a_x")
-    near = a.join(large(b), [*keys, "_gy", "_gx"]).filter((y < dy) & (x > 0) & (x < dx)).withColumn("distance", x + y)
-    best = F.min(F.struct("distance", "a_word_no", "b_word_no"))
-    return near.groupBy(*keys).agg(best.alias("m")).select(*keys, "m.a_word_no", "m.b_word_no", "m.distance")
+    def box(flag: Column, is_first: bool, x: Column) -> Column:
+        return F.when(flag, F.struct(F.lit(is_first).alias("_first"), F.col("top").alias("_top"), x.alias("_x"), "word_no"))
+
+    # one column names the page: of several, one that is the same for all rows would not be known as dealt by
+    page, both = F.struct(*keys).alias("_page"), F.array_compact(F.array(box(first, True, right()), box(second, False, F.col("left"))))
+    flagged = words.dropna(subset=keys).select(page, F.explode(both).alias("_b")).select("_page", "_b.*")
+    boxes = spread(flagged, "_page").groupBy("_page", "_first", "_top", "_x").agg(F.min("word_no").alias("_no"))
+    gy, gx = F.floor(F.col("_top") / dy), F.floor(F.col("_x") / dx)
+
+    def cell(y: Column, x: Column) -> Column:
+        return F.struct(y.alias("_gy"), x.alias("_gx"))
+
+    cells = F.when(F.col("_first"), F.array(cell(gy, gx))).otherwise(F.array(*[cell(gy + y, gx + x) for y in (-1, 0, 1) for x in (-1, 0)]))
+    placed = boxes.withColumn("_cell", F.explode(cells))
+    point = F.struct(F.col("_top").alias("y"), F.col("_x").alias("x"), F.col("_no").alias("n"))
+    met = placed.groupBy("_page", "_cell").agg(
+        F.collect_list(F.when(F.col("_first"), point)).alias("_as"), F.collect_list(F.when(~F.col("_first"), point)).alias("_bs")).filter(
+        (F.size("_as") > 0) & (F.size("_bs") > 0))
+
+    def nearest(a: Column) -> Column:
+        def near(b: Column) -> Column:
+            y, x = F.abs(a["y"] - b["y"]), b["x"] - a["x"]
+            return F.when((y < dy) & (x > 0) & (x < dx), F.struct((x + y).alias("distance"), a["n"].alias("a_word_no"), b["n"].alias("b_word_no")))
+
+        return F.array_min(F.transform("_bs", near))
+
+    best = F.min(F.array_min(F.transform("_as", nearest)))
+    return (met.groupBy("_page").agg(best.alias("m")).filter(F.col("m").isNotNull())
+            .select(*[F.col("_page")[k].alias(k) for k in keys], "m.a_word_no", "m.b_word_no", "m.distance"))
 
 
 def words_in_box(words: DataFrame, boxes: DataFrame, keys=PAGE) -> DataFrame:
